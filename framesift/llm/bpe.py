@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import gc
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -24,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_STATES, MAX_WORDS = 200_000, 250_000
+MAX_STATES, MAX_WORDS = 200_000, 125_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -135,28 +137,44 @@ class Transducer:
     def add(self, late, token: int):
         return (*late, token)
 
-    def agree(self, outputs: list):
-        """What all outputs start with, and the outputs without it."""
-        shared = 0
-        least, most = min(outputs), max(outputs)  # in order, what these two share all share
-        while shared < len(least) and shared < len(most) and least[shared] == most[shared]:
-            shared += 1
-        return least[:shared], [x[shared:] for x in outputs]
+    def agree(self, outputs: list) -> int:
+        """How much all outputs start with."""
+        first = outputs[0]
+        shared = len(first)
+        for other in outputs:
+            while shared and other[:shared] != first[:shared]:
+                shared -= 1
+        return shared
+
+    def without(self, late, shared):
+        return late[shared:]
 
     def move(self, state: int, byte: int) -> tuple:
-        """Determinise one transition: the state reached, and the output that is now certain."""
-        merges, grown = self.merges, []
+        """Determinise one transition: the state reached, and the output that is now certain.
+
+        Members are in order of where their open token began, and the one between tokens, which every prefix has, is
+        the last; so equal sets are equal tuples.
+        """
+        merges, grown, between = self.merges, [], None
+        edges, ends, known = merges.edges, merges.ends, merges.known
         for before, node, late in self.states[state]:
-            node = merges.edges[node].get(byte)
+            node = edges[node].get(byte)
             if node is None:
                 continue
-            if merges.edges[node]:
+            if edges[node]:
                 grown.append((before, node, late))
-            token = merges.ends[node]
-            if token >= 0 and merges.may_follow(before, token):
-                grown.append((token, 0, self.add(late, token)))
-        sure, left = self.agree([late for _, _, late in grown])
-        key = tuple(sorted((before, node, late) for (before, node, _), late in zip(grown, left)))
+            token = ends[node]
+            if token >= 0:
+                fits = known.get((before, token))
+                if fits or fits is None and merges.may_follow(before, token):
+                    between = (token, 0, self.add(late, token))
+        grown.append(between)
+        shared = self.agree([late for _, _, late in grown])
+        sure = self.nothing
+        if shared:
+            sure = between[2][:shared] if self.nothing == () else shared
+            grown = [(before, node, self.without(late, shared)) for before, node, late in grown]
+        key = tuple(grown)
         at = self.number.get(key)
         if at is None:
             at = self.number[key] = len(self.states)
@@ -173,13 +191,10 @@ class Transducer:
             self.clear()
         state, out, moves = 0, self.nothing, self.moves
         for byte in piece:
-            found = moves[state].get(byte)
-            if found is None:
-                found = self.move(state, byte)
-            state, sure = found
+            state, sure = moves[state].get(byte) or self.move(state, byte)
             if sure:
                 out += sure
-        return out + next(late for _, node, late in self.states[state] if node == 0)
+        return out + self.states[state][-1][2]
 
 
 class CountTransducer(Transducer):
@@ -190,38 +205,43 @@ class CountTransducer(Transducer):
     def add(self, late: int, token: int) -> int:
         return late + 1
 
-    def agree(self, outputs: list[int]):
-        least = min(outputs)
-        return least, [x - least for x in outputs]
+    def agree(self, outputs: list[int]) -> int:
+        return min(outputs)
 
+    def without(self, late: int, shared: int) -> int:
+        return late - shared
 
-class Words(dict):
-    """What each word of a text becomes, worked out at its first occurrence and forgotten when there are too many.
 
-    Texts are cut at spaces, and a word keeps the space before it: between a character that is not white space and a
-    space the pattern always ends a piece, so pieces of such words are those of the whole text. That fails only for
-    words that are all white space, and texts with these are split as a whole.
-    """
+class Recent(dict):
+    """Results by text, worked out when first needed. When there are too many, those not used since the last time go."""
 
-    def __init__(self, convert, lead: str):
+    def __init__(self, convert, lead: str = ""):
         super().__init__()
-        self.convert, self.lead = convert, lead
-
-    def __missing__(self, word: str):
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        found = self.convert(self.lead + word)
-        if len(word) <= 64:
-            self[word] = found
+        self.convert, self.lead, self.older = convert, lead, {}
+
+    def __missing__(self, text: str):
+        found = self.older.get(text)
+        if found is None:
+            found = self.convert(self.lead + text)
+        if len(text) <= 64:
+            if len(self) >= MAX_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[text] = found
         return found
 
 
 class TextEncoder:
-    """Joins ``convert`` over the words of whole texts: bytes for ids, numbers for counts."""
+    """Joins ``convert`` over the words of whole texts: bytes for ids, numbers for counts.
+
+    Texts are cut at spaces, and a word keeps the space before it: between a character that is not white space and a
+    space the pattern always ends a piece, so pieces of such words are those of the whole text. That fails only for
+    words that are all white space, and texts with these are split as a whole.
+    """
 
     def __init__(self, convert):
         self.convert = convert
-        self.first, self.rest = Words(convert, ""), Words(convert, " ")
+        self.first, self.rest = Recent(convert), Recent(convert, " ")
 
     def parts(self, text: str) -> Iterator:
         words = text.split(" ")
@@ -240,25 +260,19 @@ class BpeEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(Merges(ranks))
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Recent(self.piece)
         self.words = TextEncoder(self.convert)
 
+    def piece(self, text: str) -> bytes:
+        return array("I", self.transducer.encode(text.encode("utf-8", "surrogatepass"))).tobytes()
+
     def convert(self, text: str) -> bytes:
-        out, known = [], self.pieces
-        for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = np.array(self.transducer.encode(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-                if len(known) >= MAX_WORDS:
-                    known.clear()
-                if len(piece) <= 64:
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self.words.parts(text)) if text else b""
+        ids = b"".join(self.words.parts(text)) if text else b""
+        return ids if sys.byteorder == "little" else np.frombuffer(ids, ">u4").astype("<u4").tobytes()
 
 
 #: By lead byte, how many bytes a UTF-8 sequence has; 0 for bytes that cannot lead one.

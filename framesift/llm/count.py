@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.bpe import MAX_WORDS, CountTransducer, Merges, TextEncoder, no_collection
+from framesift.llm.bpe import CountTransducer, Merges, Recent, TextEncoder, no_collection
 
 CHUNK = 1 << 16
 
@@ -61,7 +61,7 @@ class Counter:
         self.transducer = CountTransducer(Merges(vocabulary, lambda a, b: rank.get((a, b))), whole=bool(model["model"].get("ignore_merges")))
         self.split = regex.compile(pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda s: [s]
-        self.pieces: dict[str, int] = {}
+        self.pieces = Recent(lambda piece: self.transducer.encode(piece.encode("utf-8", "surrogatepass")))
         self.words = TextEncoder(self.convert)
 
     def convert(self, text: str) -> int:
@@ -70,15 +70,7 @@ class Counter:
             if i % 2:
                 total += 1
                 continue
-            for piece in self.split(part):
-                n = self.pieces.get(piece)
-                if n is None:
-                    n = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-                    if len(self.pieces) >= MAX_WORDS:
-                        self.pieces.clear()
-                    if len(piece) <= 64:
-                        self.pieces[piece] = n
-                total += n
+            total += sum(map(self.pieces.__getitem__, self.split(part)))
         return total
 
     def count(self, text: str | None) -> int:
