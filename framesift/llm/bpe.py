@@ -222,7 +222,7 @@ class Recent(dict):
     def __missing__(self, text: str):
         found = self.older.get(text)
         if found is None:
-            found = self.convert(self.lead + text)
+            found = self.convert(self.lead + text if self.lead else text)
         if len(text) <= 64:
             if len(self) >= MAX_WORDS:
                 self.older = dict(self)

@@ -10,51 +10,63 @@ of counts reads no ids.
 from __future__ import annotations
 
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framesift.llm.bpe import MAX_WORDS, no_collection
+from framesift.llm.bpe import no_collection
 from framesift.plans.staging import shared_path
 
 #: Bytes of a row group and of a page and rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 1_000
 
+#: Words a worker remembers at a time (twice as many with those of the time before), and files whose totals are broadcast.
+MAX_KNOWN, MAX_BROADCAST_FILES = 300_000, 200_000
+
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, start_in_file bigint, file int, ids array<int>"
 
 
 class LibraryEncoder:
     """Whole texts by the tokenizers library. Words between single spaces are encoded once and remembered: the
-    byte-level split ends a piece before a space that follows another character, so words give what the text gives."""
+    byte-level split ends a piece before a space that follows another character, so words give what the text gives.
+    Words not met for long are forgotten."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<i4").tobytes() for e in found]
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [array("i", e.ids).tobytes() for e in encode(texts, add_special_tokens=False)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > MAX_WORDS:
-            known.clear()
+        """The ids of each text as native 32-bit integers."""
         out = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            if any(not w or w.isspace() for w in rest) or not first or first.isspace():
-                out += self.ids([text])
-                continue
-            words = [first, *[" " + w for w in rest]]
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            known.update(zip(new, self.ids(new)))
-            out.append(b"".join(map(known.__getitem__, words)))
+        for i in range(0, len(texts), 250):
+            out += self.encode_some(texts[i : i + 250])
         return out
 
+    def encode_some(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > MAX_KNOWN:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        split = [t.split(" ") for t in texts]
+        plain = [all(words) and not any(map(str.isspace, words)) for words in split]
+        met = set(chain.from_iterable(words[1:] for words, p in zip(split, plain) if p)).difference(known)
+        again = met.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again)))
+        new = list(met.difference(again))
+        known.update(zip(new, self.ids([" " + w for w in new])))
+        heads = iter(self.ids([words[0] if p else text for text, words, p in zip(texts, split, plain)]))
+        return [next(heads) + b"".join(map(known.__getitem__, words[1:] if p else ())) for words, p in zip(split, plain)]
+
 
 _BUILT: dict[str, LibraryEncoder] = {}
 
@@ -109,10 +121,13 @@ def read_token_files(spark, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids.
 
     Starts come from the files' totals, a query that reads two small columns, summed in file order: one row a file.
+    These are broadcast if the files are no more than MAX_BROADCAST_FILES, so that ids stay where they are read.
     """
     rows = spark.read.schema(FILE_SCHEMA).parquet(path)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    if len(rows.inputFiles()) <= MAX_BROADCAST_FILES:
+        before = F.broadcast(before)
     return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
