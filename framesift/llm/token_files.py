@@ -39,6 +39,7 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[-1]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -46,6 +47,19 @@ class LibraryEncoder:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [array("i", e.ids).tobytes() for e in encode(texts, add_special_tokens=False)]
 
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words without white space inside, each after a space: a line each in one text, cut at the line feeds."""
+        out, feed = [], self.line_feed
+        for i in range(0, len(words), 200):
+            some = words[i : i + 200]
+            raw = self.ids(["\n".join([" " + w for w in some])])[0]
+            cuts = (4 * np.flatnonzero(np.frombuffer(raw, np.int32) == feed)).tolist()
+            if len(cuts) != len(some) - 1:  # a word brought a line feed of its own
+                out += self.ids([" " + w for w in some])
+                continue
+            out += [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]
+        return out
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native 32-bit integers."""
         out = []
@@ -59,13 +73,21 @@ class LibraryEncoder:
         known, older = self.known, self.older
         split = [t.split(" ") for t in texts]
         plain = [all(words) and not any(map(str.isspace, words)) for words in split]
-        met = set(chain.from_iterable(words[1:] for words, p in zip(split, plain) if p)).difference(known)
-        again = met.intersection(older)
-        known.update(zip(again, map(older.__getitem__, again)))
-        new = list(met.difference(again))
-        known.update(zip(new, self.ids([" " + w for w in new])))
         heads = iter(self.ids([words[0] if p else text for text, words, p in zip(texts, split, plain)]))
-        return [next(heads) + b"".join(map(known.__getitem__, words[1:] if p else ())) for words, p in zip(split, plain)]
+        for words in split:
+            del words[0]
+        met = set(chain.from_iterable(words for words, p in zip(split, plain) if p)).difference(known)
+        new = []
+        for word in met:
+            if word in older:
+                known[word] = older[word]
+            else:
+                new.append(word)
+        whole = [w for w in new if len(w.split()) == 1]
+        known.update(zip(whole, self.word_ids(whole)))
+        mixed = [w for w in new if w not in known]
+        known.update(zip(mixed, self.ids([" " + w for w in mixed])))
+        return [next(heads) + b"".join(map(known.__getitem__, words if p else ())) for words, p in zip(split, plain)]
 
 
 _BUILT: dict[str, LibraryEncoder] = {}
