@@ -83,7 +83,7 @@ class LibraryEncoder:
                 known[word] = older[word]
             else:
                 new.append(word)
-        whole = [w for w in new if len(w.split()) == 1]
+        whole = [w for w in new if w.split() == [w]]
         known.update(zip(whole, self.word_ids(whole)))
         mixed = [w for w in new if w not in known]
         known.update(zip(mixed, self.ids([" " + w for w in mixed])))
