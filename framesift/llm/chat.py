@@ -52,15 +52,15 @@ def root_paths(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     and belong to no path; doubling ends when the steps are longer than any tree is large.
     """
     ids = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    known = ids.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    up = ids.join(known, (ids["tree"].eqNullSafe(known["tree"])) & (ids["parent"] == known["parent"]), "left")
-    now = stage(up.select(ids["tree"], "node", F.when(F.col("known"), ids["parent"]).alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("length")), "up0")
+    known = ids.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    up = ids.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
+    now = stage(up.select("tree", "node", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("length")), "up0")
     largest = now.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     pointers, step = [], 1
     while step < max(largest, 1) and not now.where("up IS NOT NULL").isEmpty():
         pointers.append(now.select("tree", "node", "up").where("up IS NOT NULL"))
         far = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
-        joined = now.join(far, now["tree"].eqNullSafe(far["t"]) & (now["up"] == far["n"]), "left")
+        joined = now.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
         now = stage(
             joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("further", F.lit(0))).alias("length")),
             "up",
@@ -75,16 +75,16 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     Branches rank by path score, the highest first, then by the smallest leaf; place counts from 1 at the root.
     """
     paths, pointers = root_paths(messages)
-    parents = messages.select("tree", F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
-    leaves = paths.join(parents, paths["tree"].eqNullSafe(parents["tree"]) & (paths["node"] == parents["node"]), "left_anti")
+    parents = messages.select(F.col("tree").alias("t"), F.col("parent").alias("n")).where("n IS NOT NULL").distinct()
+    leaves = paths.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("total").desc(), "node"))
     marked = leaves.withColumn("branch", rank).where(F.col("branch") <= branches).select("tree", "branch", "node")
     for table in reversed(pointers):
         p = table.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        up = marked.join(p, marked["tree"].eqNullSafe(p["t"]) & (marked["node"] == p["n"])).select("tree", "branch", F.col("up").alias("node"))
+        up = marked.join(p, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "branch", F.col("up").alias("node"))
         marked = stage(marked.unionByName(up), "marked")
     where = paths.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("length").alias("place"))
-    return marked.join(where, marked["tree"].eqNullSafe(where["t"]) & (marked["node"] == where["n"])).select("tree", "branch", "node", "place")
+    return marked.join(where, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "branch", "node", "place")
 
 
 def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -94,7 +94,7 @@ def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     others of the table are dealt out by tree.
     """
     paths = chosen_paths(messages, branches).select(F.col("tree").alias("t"), F.col("node").alias("n"), "branch", "place")
-    rows = messages.join(paths, messages["tree"].eqNullSafe(paths["t"]) & (messages["node"] == paths["n"]))
+    rows = messages.join(paths, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.coalesce("text", F.lit("")))
     turn = F.struct(F.col("place"), head.alias("head"), body.alias("body"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("learn"))

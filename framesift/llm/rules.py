@@ -96,6 +96,7 @@ def votes() -> list[Column]:
         vote((F.col("word_chars") / n < 2.5) | (F.col("word_chars") / n > 12), (F.col("word_chars") / n >= 3.5) & (F.col("word_chars") / n <= 9)),
         vote(F.col("n_dup_lines") >= 5, F.col("n_dup_lines") == 0),
         vote(some & (F.col("n_marked") / n > 0.1), some & (F.col("n_marked") == 0)),
+        vote(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)) > 0.15, some & (F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)) < 0.02)),
     ]
 
 
@@ -110,40 +111,36 @@ def pattern() -> Column:
 def fit(patterns: np.ndarray, counts: np.ndarray, rules: int) -> np.ndarray:
     """The posterior probability of being good of every possible pattern.
 
-    Starts from rules that are right more often than not, which fixes which class is the good one; estimates are kept
-    off 0 and 1 by PSEUDO documents.
+    For each rule and class the model has the chance of voting bad, given that the rule votes; an abstention says
+    nothing. It starts from rules that seldom fault good documents and often bad ones, which fixes which class is the
+    good one; estimates are kept off 0 and 1 by PSEUDO documents that vote like the start.
     """
     digits = lambda p: np.stack([p // 3 ** (rules - 1 - i) % 3 for i in range(rules)], axis=1)
-    seen = digits(patterns)
-    onehot = (seen[:, :, None] == np.arange(3)).astype(float)
-    start = np.array([[0.6, 0.3, 0.1], [0.05, 0.25, 0.7]])
-    chance = np.repeat(start[:, None, :], rules, axis=1)
-    prior = np.array([1 - PRIOR_GOOD, PRIOR_GOOD])
-
-    def posterior(onehot):
-        log = np.log(prior)[None, :] + np.einsum("prv,crv->pc", onehot, np.log(chance))
-        log -= log.max(axis=1, keepdims=True)
-        p = np.exp(log)
+    prior, start = np.array([1 - PRIOR_GOOD, PRIOR_GOOD]), np.array([0.4, 0.02])
+    chance = np.repeat(start[:, None], rules, axis=1)  # of a bad vote, by class and rule
+
+    def posterior(votes):
+        log = np.log(prior) + (votes == BAD) @ np.log(chance).T + (votes == GOOD) @ np.log(1 - chance).T
+        p = np.exp(log - log.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
+    seen = digits(patterns)
     for _ in range(ROUNDS if len(patterns) else 0):
-        share = posterior(onehot) * counts[:, None]
+        share = posterior(seen) * counts[:, None]
         mass = share.sum(axis=0)
-        fresh = np.einsum("pc,prv->crv", share, onehot) + PSEUDO * start[:, None, :]
-        fresh /= fresh.sum(axis=2, keepdims=True)
-        done = np.abs(fresh - chance).max() < 1e-9
-        chance = fresh
+        bad, good = share.T @ (seen == BAD), share.T @ (seen == GOOD)
+        fresh = (bad + PSEUDO * start[:, None]) / (bad + good + PSEUDO)
         prior = (mass + PSEUDO * np.array([1 - PRIOR_GOOD, PRIOR_GOOD])) / (mass.sum() + PSEUDO)
-        if done:
+        moved, chance = np.abs(fresh - chance).max(), fresh
+        if moved < 1e-9:
             break
-    every = digits(np.arange(3**rules))
-    return posterior((every[:, :, None] == np.arange(3)).astype(float))[:, 1]
+    return posterior(digits(np.arange(3**rules)))[:, 1]
 
 
 def label_model(measured: DataFrame) -> Column:
     """Counts the patterns of all rows, fits, and gives the posterior as a column over the same columns.
 
-    What comes to the driver is one row for each pattern that occurs, 3^8 = 6561 at most.
+    What comes to the driver is one row for each pattern that occurs, 3^9 = 19683 at most.
     """
     rules = len(votes())
     found = measured.groupBy(pattern().alias("p")).count().collect()

@@ -25,7 +25,7 @@ from framesift.plans.staging import shared_path
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 1_000
 
 #: Words a worker remembers at a time (twice as many with those of the time before), and files whose totals are broadcast.
-MAX_KNOWN, MAX_BROADCAST_FILES = 300_000, 200_000
+MAX_KNOWN, MAX_BROADCAST_FILES = 450_000, 200_000
 
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, start_in_file bigint, file int, ids array<int>"
 

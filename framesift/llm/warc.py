@@ -97,8 +97,8 @@ class BundleWriter:
 
     def __init__(self, path: str):
         system, self.path = fs.FileSystem.from_uri(path)
-        self.out = system.open_output_stream(self.path)
-        self.packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
+        self.out = system.open_output_stream(self.path, compression=None)  # else the name would compress it again
+        self.packer = zstandard.ZstdCompressor(level=LEVEL)
         self.frames: list[tuple[int, int]] = []
         self.open, self.size = [], 0
         self.written = 0
@@ -129,16 +129,16 @@ def read_frames(path: str) -> Iterator[bytes]:
     """All frames of a bundle, one at a time."""
     system, inner = fs.FileSystem.from_uri(path)
     with system.open_input_file(inner) as file:
-        for offset, packed, _ in read_seek_table(file):
-            yield zstandard.ZstdDecompressor().decompress(file.read_at(packed, offset))
+        for offset, packed, plain in read_seek_table(file):
+            yield zstandard.ZstdDecompressor().decompress(file.read_at(packed, offset), max_output_size=plain)
 
 
 def read_record(path: str, frame: int, offset: int) -> tuple[dict[str, str], bytes]:
     """One record's WARC fields and payload, by its index row."""
     system, inner = fs.FileSystem.from_uri(path)
     with system.open_input_file(inner) as file:
-        at, packed, _ = read_seek_table(file)[frame]
-        fields, _, payload, _ = parse(zstandard.ZstdDecompressor().decompress(file.read_at(packed, at)), offset)
+        at, packed, plain = read_seek_table(file)[frame]
+        fields, _, payload, _ = parse(zstandard.ZstdDecompressor().decompress(file.read_at(packed, at), max_output_size=plain), offset)
         return fields, payload
 
 
