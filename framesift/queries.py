@@ -1,6 +1,665 @@
-"""The registered queries, each beside the SQL it is held against."""
+"""The registered queries, each beside the SQL it is held against.
+
+The driver's tables stand in for frames. E: events are frames of a user's folder; V: embeddings, quantised to bytes, are
+descriptors in bursts by label; L: line items are ranked members of the stacks that orders are; G: page urls are files;
+D: documents and labels are frames and decisions; M: orders are a move journal. Doubles are rounded to six digits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from framesift.functions import columns as C
+from framesift.operators import accuracy, assets, bursts, counterpart, moves, ranking, review, similarity
+from framesift.options import PRESETS, ScanOptions
+from framesift.plans.fold import number_rows
+
+HOUR = 3_600_000
+EVENT_OPTIONS = ScanOptions(max_time_gap_ms=6 * HOUR, max_cluster_span_ms=12 * HOUR, max_seq_gap=12)
+RANK_OPTIONS = ScanOptions(keepers_per_cluster=2)
+STACK_THRESHOLD = 0.46
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def r6(x: Column) -> Column:
+    return F.round(x, 6)
+
+
+# -- E: events as frames -----------------------------------------------------------------------------------------------
+
+
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("directory"), F.lit("").alias("prefix"), F.lit(None).cast("bigint").alias("seq"),
+        ms.alias("time_ms"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("stem"), "event_id",
+    )
+
+
+E_SQL = "e AS (SELECT user_id::VARCHAR AS directory, '' AS prefix, (epoch_us(ts) // 1000) AS time_ms, event_id FROM events)"
+
+SESSION_SQL = f"""
+WITH RECURSIVE {E_SQL},
+o AS (SELECT *, row_number() OVER k AS rn, lag(time_ms) OVER k AS prev FROM e WINDOW k AS (PARTITION BY directory ORDER BY time_ms, event_id)),
+f AS (
+  SELECT directory, rn, event_id, time_ms, time_ms AS start_ms, 1::BIGINT AS burst_no, true AS burst_start FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.directory, o.rn, o.event_id, o.time_ms, CASE WHEN o.time_ms - prev > {6 * HOUR} OR abs(o.time_ms - f.start_ms) > {12 * HOUR} THEN o.time_ms ELSE f.start_ms END,
+         f.burst_no + CASE WHEN o.time_ms - prev > {6 * HOUR} OR abs(o.time_ms - f.start_ms) > {12 * HOUR} THEN 1 ELSE 0 END,
+         o.time_ms - prev > {6 * HOUR} OR abs(o.time_ms - f.start_ms) > {12 * HOUR}
+  FROM f JOIN o ON o.directory = f.directory AND o.rn = f.rn + 1),
+b AS (SELECT *, dense_rank() OVER (ORDER BY directory, burst_no) AS burst_id FROM f)
+"""
+
+
+@query(SESSION_SQL + "SELECT event_id, burst_id, burst_start, rn AS pos FROM b")
+def burst_sessions(spark, sf_dir):
+    return bursts.bursts(event_frames(spark, sf_dir), EVENT_OPTIONS).select("event_id", "burst_id", "burst_start", "pos")
+
+
+@query(SESSION_SQL + "SELECT burst_id, min(directory) AS directory, min('') AS prefix, count(*) AS frames, min(time_ms) AS start_ms, max(time_ms) AS end_ms FROM b GROUP BY burst_id")
+def burst_summary(spark, sf_dir):
+    return bursts.summarize(bursts.bursts(event_frames(spark, sf_dir), EVENT_OPTIONS))
+
+
+@query(f"""
+WITH e AS (SELECT user_id::VARCHAR AS directory, event_type AS prefix, (epoch_us(ts) // 1000) // {HOUR} AS seq, (epoch_us(ts) // 1000) AS time_ms, event_id FROM events),
+s AS (SELECT *, row_number() OVER k = 1 OR coalesce(abs(time_ms - lag(time_ms) OVER k) > {24 * HOUR}, false) OR coalesce(seq - lag(seq) OVER k > 12, false) AS hard_split
+      FROM e WINDOW k AS (PARTITION BY directory, prefix ORDER BY seq, time_ms, event_id))
+SELECT event_id, hard_split, sum(hard_split::INT) OVER (PARTITION BY directory, prefix ORDER BY seq, time_ms, event_id)::BIGINT AS island FROM s""")
+def burst_islands(spark, sf_dir):
+    frames = event_frames(spark, sf_dir).join(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    frames = frames.withColumns({"prefix": F.col("event_type"), "seq": F.floor(F.col("time_ms") / HOUR)})
+    split = bursts.adjacent_splits(frames, ScanOptions(max_time_gap_ms=24 * HOUR, max_seq_gap=12))
+    order = Window.partitionBy("directory", "prefix").orderBy("seq_key", "time_key", "stem")
+    return split.select("event_id", "hard_split", F.sum(F.col("hard_split").cast("bigint")).over(order).alias("island"))
+
+
+@query("""
+SELECT event_id, row_number() OVER (ORDER BY user_id::VARCHAR, event_type, CASE WHEN event_id % 5 = 0 THEN -1 ELSE event_id % 97 END,
+       CASE WHEN event_id % 7 = 0 THEN 9223372036854775807 ELSE (epoch_us(ts) // 1000) END, event_id) AS place FROM events""")
+def discovery_order(spark, sf_dir):
+    frames = event_frames(spark, sf_dir).join(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    frames = frames.withColumns({
+        "prefix": F.col("event_type"), "seq": F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 97), "time_ms": F.when(F.col("event_id") % 7 != 0, F.col("time_ms")),
+    })
+    return number_rows(assets.with_order_keys(frames), bursts.discovery_order(), "place").select("event_id", "place")
+
+
+@query("""
+WITH t AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (epoch_us(ts) // 1000) END AS exif, CASE WHEN event_id % 4 = 0 THEN (epoch_us(ts) // 1000) - 5 END AS created,
+                  CASE WHEN event_id % 5 = 0 THEN (epoch_us(ts) // 1000) + 7 END AS modified, ts FROM events)
+SELECT event_id, coalesce(exif, created, modified) AS capture_ms,
+       CASE WHEN exif IS NOT NULL THEN 'exif' WHEN created IS NOT NULL THEN 'filesystem_created' WHEN modified IS NOT NULL THEN 'filesystem_modified' ELSE 'unavailable' END AS source,
+       ((epoch_us(date_trunc('second', ts)) // 1000) + event_id % 1000 - 60000 * (CASE WHEN event_id % 2 = 0 THEN 480 ELSE -330 END))::BIGINT AS exif_ms
+FROM t""")
+def capture_time_chain(spark, sf_dir):
+    ms, i = F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id")
+    exif, created, modified = F.when(i % 3 == 0, ms), F.when(i % 4 == 0, ms - 5), F.when(i % 5 == 0, ms + 7)
+    text = F.date_format("ts", "yyyy:MM:dd HH:mm:ss")
+    parsed = C.exif_millis(text, F.lpad((i % 1000).cast("string"), 3, "0"), F.when(i % 2 == 0, "+08:00").otherwise("-05:30"))
+    return read(spark, sf_dir, "events").select("event_id", F.coalesce(exif, created, modified).alias("capture_ms"), C.capture_source(exif, created, modified).alias("source"), parsed.alias("exif_ms"))
+
+
+@query("""
+SELECT event_type AS stage, round(sum(value), 6) AS total_ms, count(*) AS items,
+       round(CASE WHEN sum(value) > 0 THEN count(*) * 1000.0 / sum(value) END, 6) AS items_per_s FROM events GROUP BY event_type""")
+def timing_report(spark, sf_dir):
+    ms = F.sum("value")
+    rate = F.when(ms > 0, F.count(F.lit(1)) * 1000.0 / ms)
+    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(r6(ms).alias("total_ms"), F.count(F.lit(1)).alias("items"), r6(rate).alias("items_per_s"))
+
+
+@query("""
+SELECT event_id, round(0.2 + 0.6 * CASE WHEN event_id % 50 = 0 THEN 1.0 ELSE least(greatest((event_id % 60) / (event_id % 50)::DOUBLE, 0.0), 1.0) END, 6) AS progress,
+       round((event_id % 10 + 0.35 * (event_id % 4) + 0.2 * (event_id % 3)) / greatest(event_id % 8, 1), 6) AS workload FROM events""")
+def progress_fraction(spark, sf_dir):
+    i = F.col("event_id")
+    load = (i % 10 + 0.35 * (i % 4) + 0.2 * (i % 3)) / F.greatest(i % 8, F.lit(1))
+    return read(spark, sf_dir, "events").select("event_id", r6(C.progress_fraction(F.lit(0.2), F.lit(0.8), (i % 60).cast("double"), i % 50)).alias("progress"), r6(load).alias("workload"))
+
+
+@query("""
+WITH e AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS idx, CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 'keep' ELSE 'reject' END AS final_action FROM events),
+p AS (SELECT 'phase' || lpad(n::VARCHAR, 3, '0') AS name, n * 37 + 1 AS lo, n * 37 + 5 AS hi FROM range(0, 200) t(n))
+SELECT name, coalesce(bool_or(final_action IN ('keep', 'review')), false) AS covered FROM p LEFT JOIN e ON idx BETWEEN lo AND hi GROUP BY name""")
+def phase_coverage(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    least = events.agg(F.min("event_type").alias("least"))
+    frames = number_rows(events.select("ts", "event_id", "event_type"), [F.col("ts"), F.col("event_id")], "idx").join(F.broadcast(least))  # one row
+    frames = frames.select("idx", F.when(F.col("event_type") == F.col("least"), "keep").otherwise("reject").alias("final_action"))
+    phases = spark.range(200).select(F.concat(F.lit("phase"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("name"), (F.col("id") * 37 + 1).alias("start"), (F.col("id") * 37 + 5).alias("end"))
+    return accuracy.phase_coverage(phases, frames)
+
+
+# -- G: pages as files -------------------------------------------------------------------------------------------------
+
+
+def url_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page is two or three files of one stem: jpg, raw on every other page, a sidecar on every third; also files to be left out."""
+    i = F.col("page_id")
+    base = F.concat(F.lit("/card/"), F.concat(F.lit("d"), (i % 7).cast("string")), F.lit("/IMG_"), F.lpad(i.cast("string"), 5, "0"))
+    paths = F.array_compact(
+        F.array(
+            F.concat(base, F.lit(".JPG")), F.when(i % 2 == 0, F.concat(base, F.lit(".nef"))), F.when(i % 3 == 0, F.concat(base, F.lit(".xmp"))),
+            F.when(i % 5 == 0, F.concat(F.lit("/card/x/"), F.lit("only"), i.cast("string"), F.lit(".xmp"))),
+            F.when(i % 4 == 0, F.concat(F.lit("/card/d1/._IMG_"), i.cast("string"), F.lit(".jpg"))), F.when(i % 6 == 0, F.concat(base, F.lit(".txt"))),
+        )
+    )
+    files = read(spark, sf_dir, "pages").select(F.explode(paths).alias("path"), (i * 10).alias("created_ms"), (i * 10 + 1).alias("modified_ms"))
+    return assets.classify_files(files, "/card")
+
+
+@query("""
+WITH b AS (SELECT page_id AS i, 'd' || (page_id % 7)::VARCHAR AS directory, 'IMG_' || lpad(page_id::VARCHAR, 5, '0') AS stem FROM pages)
+SELECT substring(sha1(directory || '/' || stem || '.JPG'), 1, 16) AS id, directory, stem, 'IMG_' AS prefix, i AS seq, directory || '/' || stem || '.JPG' AS representative,
+       (1 + (i % 2 = 0)::INT)::INT AS n_files, (i % 3 = 0)::INT AS n_sidecars, i * 10 AS created_ms FROM b""")
+def asset_grouping(spark, sf_dir):
+    grouped = assets.group_assets(url_files(spark, sf_dir))
+    return grouped.select("id", "directory", "stem", "prefix", "seq", "representative", F.size("files").alias("n_files"), F.size("sidecars").alias("n_sidecars"), "created_ms")
+
+
+@query(r"""
+WITH s AS (SELECT 'p' || page_id::VARCHAR AS k, url AS s FROM pages UNION ALL SELECT 'c' || c_custkey::VARCHAR, c_name FROM customer UNION ALL SELECT 't' || p_partkey::VARCHAR, p_name || p_size::VARCHAR FROM part)
+SELECT k, regexp_replace(s, '[0-9]+$', '') AS prefix, TRY_CAST(nullif(regexp_extract(s, '([0-9]+)$', 1), '') AS BIGINT) AS seq, substring(sha1(s), 1, 16) AS id FROM s""")
+def stem_sequence_split(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("k"), F.col("url").alias("s"))
+    customers = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("k"), F.col("c_name").alias("s"))
+    parts = read(spark, sf_dir, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("k"), F.concat("p_name", F.col("p_size").cast("string")).alias("s"))
+    s = F.col("s")
+    return pages.unionByName(customers).unionByName(parts).select("k", C.stem_prefix(s).alias("prefix"), C.stem_sequence(s).alias("seq"), C.stable_id(s).alias("id"))
+
+
+# -- V: embeddings as descriptors --------------------------------------------------------------------------------------
+
+
+def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u8 = F.transform("embedding", lambda x: F.floor(F.least(F.greatest((x.cast("double") + 1) * 127.5, F.lit(0.0)), F.lit(255.0))).cast("int"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("bigint")
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("burst_id"), place.alias("pos"), u8.alias("u8"))
+
+
+V_SQL = """v AS (SELECT vec_id, label::BIGINT AS burst_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos,
+  list_transform(embedding, lambda x: floor(least(greatest((x::DOUBLE + 1) * 127.5, 0.0), 255.0))::BIGINT) AS u8 FROM embeddings)"""
+PAIRS_SQL = f"""
+WITH {V_SQL},
+p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.u8 AS x, b.u8 AS y, list_zip(a.u8, b.u8) AS z FROM v a JOIN v b ON a.burst_id = b.burst_id AND b.pos - a.pos BETWEEN 1 AND 8),
+s AS (SELECT a_id, b_id, len(x) AS n, list_sum(x)::BIGINT AS sx, list_sum(y)::BIGINT AS sy, list_sum(list_transform(z, lambda t: t[1] * t[2]))::BIGINT AS sxy,
+             list_sum(list_transform(x, lambda t: t * t))::BIGINT AS sxx, list_sum(list_transform(y, lambda t: t * t))::BIGINT AS syy,
+             len(list_filter(z, lambda t: t[1] >= 160 AND t[2] >= 160)) AS shared, len(list_filter(z, lambda t: t[1] >= 160 OR t[2] >= 160)) AS either FROM p),
+d AS (SELECT a_id, b_id, least(greatest((1 - least(greatest((n * sxy - sx * sy) / (sqrt((n * sxx - sx * sx)::DOUBLE) * sqrt((n * syy - sy * sy)::DOUBLE)), -1.0), 1.0)) * 0.5, 0.0), 1.0) AS correlation,
+             least(greatest(1 - sxy / (sqrt(sxx::DOUBLE) * sqrt(syy::DOUBLE)), 0.0), 1.0) AS cosine,
+             CASE WHEN either < 8 THEN 1.0 ELSE 1 - shared / either END AS mask,
+             CASE WHEN either < 8 THEN 0.35 ELSE least(greatest(sqrt(either / 80.0), 0.35), 1.0) END AS reliability FROM s)
+"""
+
+
+def descriptor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = similarity.band_pairs(descriptors(spark, sf_dir), "burst_id", "pos", 8)
+    return pairs.select(F.col("a.vec_id").alias("a_id"), F.col("b.vec_id").alias("b_id"), F.col("a.u8").alias("x"), F.col("b.u8").alias("y"))
+
+
+def as_mask(u8: Column) -> Column:
+    return F.transform(u8, lambda t: (t >= 160).cast("int"))
+
+
+@query(PAIRS_SQL + "SELECT a_id, b_id, round(correlation, 6) AS distance FROM d")
+def pair_correlation(spark, sf_dir):
+    return descriptor_pairs(spark, sf_dir).select("a_id", "b_id", r6(similarity.correlation_distance(F.col("x"), F.col("y"))).alias("distance"))
+
+
+@query(PAIRS_SQL + "SELECT a_id, b_id, round(cosine, 6) AS distance FROM d")
+def pair_cosine(spark, sf_dir):
+    return descriptor_pairs(spark, sf_dir).select("a_id", "b_id", r6(similarity.cosine_distance(F.col("x"), F.col("y"))).alias("distance"))
+
+
+@query(PAIRS_SQL + "SELECT a_id, b_id, round(mask, 6) AS distance, round(reliability, 6) AS reliability FROM d")
+def pair_jaccard(spark, sf_dir):
+    pairs = descriptor_pairs(spark, sf_dir).select("a_id", "b_id", as_mask(F.col("x")).alias("x"), as_mask(F.col("y")).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return pairs.select("a_id", "b_id", r6(similarity.mask_distance(x, y)).alias("distance"), r6(similarity.mask_reliability(x, y)).alias("reliability"))
+
+
+@query(PAIRS_SQL + """, c AS (SELECT a_id, b_id, least((a_id % 10) / 10.0, (b_id % 10) / 10.0) * reliability AS confidence, 0.42 * mask + 0.38 * cosine + 0.20 * correlation AS subject, correlation FROM d)
+SELECT a_id, b_id, round(least(greatest(confidence, 0.0), 1.0), 6) AS confidence, round(subject, 6) AS subject_distance,
+       round(least(greatest(CASE WHEN confidence >= 0.25 THEN 0.92 * subject + 0.08 * correlation ELSE 0.70 * subject + 0.30 * correlation END, 0.0), 1.0), 6) AS distance FROM c""")
+def pair_similarity(spark, sf_dir):
+    pairs = descriptor_pairs(spark, sf_dir).select("a_id", "b_id", "x", "y", as_mask(F.col("x")).alias("mx"), as_mask(F.col("y")).alias("my"))
+    x, y, mx, my = (F.col(c) for c in ("x", "y", "mx", "my"))
+    luma = similarity.correlation_distance(x, y)
+    parts = similarity.combined(luma, similarity.cosine_distance(x, y), similarity.mask_distance(mx, my), similarity.mask_reliability(mx, my), luma, (F.col("a_id") % 10) / 10.0, (F.col("b_id") % 10) / 10.0)
+    return pairs.select("a_id", "b_id", r6(parts[1]).alias("confidence"), r6(parts[2]).alias("subject_distance"), r6(parts[0]).alias("distance"))
+
+
+@query(f"""
+WITH {V_SQL},
+h AS (SELECT vec_id, burst_id, pos, list_sum(list_transform(list_zip(u8[1:30], range(0, 30)), lambda t: CASE WHEN t[1] >= 128 THEN 1::BIGINT << t[2]::INT ELSE 0::BIGINT END))::BIGINT AS bits FROM v)
+SELECT a.vec_id AS a_id, b.vec_id AS b_id, bit_count(xor(a.bits, b.bits))::INT AS distance, bit_count(xor(a.bits, b.bits)) > 15 AS scene_change
+FROM h a JOIN h b ON a.burst_id = b.burst_id AND b.pos = a.pos + 1""")
+def hash_distance(spark, sf_dir):
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(29)), F.lit(0).cast("bigint"), lambda acc, i: acc + F.when(F.get("u8", i) >= 128, F.pow(F.lit(2.0), i).cast("bigint")).otherwise(0))
+    hashes = descriptors(spark, sf_dir).select("vec_id", "burst_id", "pos", F.lpad(F.lower(F.hex(bits)), 16, "0").alias("dhash"))
+    pairs = similarity.band_pairs(hashes, "burst_id", "pos", 1)
+    distance = C.hash_distance(F.col("a.dhash"), F.col("b.dhash"))
+    return pairs.select(F.col("a.vec_id").alias("a_id"), F.col("b.vec_id").alias("b_id"), distance.alias("distance"), (distance > 15).alias("scene_change"))
+
+
+def compare_u8(row, rows):
+    """Distances by correlation; confidence 1."""
+    many = np.stack([np.asarray(r[0]) for r in rows])
+    return np.round(similarity.array_correlation(np.asarray(row[0]), many), 9), np.ones(len(rows))
+
+
+def stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.stack_frames(descriptors(spark, sf_dir), ["burst_id"], [F.col("pos")], ["u8"], compare_u8, lambda a, b: True, STACK_THRESHOLD)
+
+
+STACK_SQL = f"""
+WITH RECURSIVE {V_SQL},
+p AS (SELECT a.burst_id, a.pos AS i, b.pos AS j, list_zip(a.u8, b.u8) AS z, a.u8 AS x, b.u8 AS y FROM v a JOIN v b ON a.burst_id = b.burst_id AND a.pos < b.pos),
+s AS (SELECT burst_id, i, j, len(x) AS n, list_sum(x)::BIGINT AS sx, list_sum(y)::BIGINT AS sy, list_sum(list_transform(z, lambda t: t[1] * t[2]))::BIGINT AS sxy,
+             list_sum(list_transform(x, lambda t: t * t))::BIGINT AS sxx, list_sum(list_transform(y, lambda t: t * t))::BIGINT AS syy FROM p),
+d AS (SELECT burst_id, i, j, round(least(greatest((1 - least(greatest((n * sxy - sx * sy) / (sqrt((n * sxx - sx * sx)::DOUBLE) * sqrt((n * syy - sy * sy)::DOUBLE)), -1.0), 1.0)) * 0.5, 0.0), 1.0), 9) AS dist FROM s),
+l AS (SELECT v.burst_id, v.pos, coalesce(max(d.i) FILTER (WHERE NOT dist <= {STACK_THRESHOLD}), -1) AS far FROM v LEFT JOIN d ON v.burst_id = d.burst_id AND v.pos = d.j GROUP BY v.burst_id, v.pos),
+f AS (SELECT burst_id, pos, pos AS start FROM l WHERE pos = 1
+      UNION ALL SELECT l.burst_id, l.pos, CASE WHEN l.far >= f.start THEN l.pos ELSE f.start END FROM f JOIN l ON l.burst_id = f.burst_id AND l.pos = f.pos + 1),
+m AS (SELECT v.vec_id, f.burst_id, f.pos, f.start FROM f JOIN v USING (burst_id, pos)),
+both_ways AS (SELECT burst_id, i AS me, j AS other, dist FROM d UNION ALL SELECT burst_id, j, i, dist FROM d),
+near AS (SELECT m.vec_id, m.burst_id, m.start, min(w.dist) AS nearest, max(w.dist) AS farthest FROM m JOIN m o ON m.burst_id = o.burst_id AND m.start = o.start AND m.pos <> o.pos
+         JOIN both_ways w ON w.burst_id = m.burst_id AND w.me = m.pos AND w.other = o.pos GROUP BY 1, 2, 3)
+"""
+
+
+@query(STACK_SQL + "SELECT vec_id, pos = start AS stack_start, dense_rank() OVER (ORDER BY burst_id, start) AS stack_id FROM m")
+def stacks_complete_link(spark, sf_dir):
+    rows = stacked(spark, sf_dir)
+    running = rows.withColumn("stack_no", F.sum(F.col("stack_start").cast("bigint")).over(Window.partitionBy("burst_id").orderBy("pos")))
+    ids = number_rows(running.where("stack_start").select("burst_id", "stack_no"), [F.col("burst_id"), F.col("stack_no")], "stack_id")
+    return running.join(ids, ["burst_id", "stack_no"]).select("vec_id", "stack_start", "stack_id")
+
+
+@query(STACK_SQL + f"""SELECT m.vec_id, round(coalesce(nearest, 1.0), 6) AS nearest_distance, round(CASE WHEN nearest IS NULL THEN 0.0 ELSE 1 - 0.35 * least(nearest / {STACK_THRESHOLD}, 1.0) END, 6) AS duplicate_confidence,
+round(least(nearest / {STACK_THRESHOLD}, 1.0), 6) AS pose_novelty FROM m LEFT JOIN near USING (vec_id)""")
+def stack_nearest(spark, sf_dir):
+    return stacked(spark, sf_dir).select("vec_id", *[r6(F.col(c)).alias(c) for c in ("nearest_distance", "duplicate_confidence", "pose_novelty")])
+
+
+@query(STACK_SQL + f"""SELECT m.burst_id, m.start AS first_pos, count(*) AS frames, round(coalesce(avg(CASE WHEN nearest IS NOT NULL THEN 1 - 0.35 * least(nearest / {STACK_THRESHOLD}, 1.0) END), 0.0), 6) AS confidence,
+round(coalesce(max(farthest), 0.0), 6) AS max_distance FROM m LEFT JOIN near USING (vec_id) GROUP BY m.burst_id, m.start""")
+def stack_confidence(spark, sf_dir):
+    rows = stacked(spark, sf_dir)
+    start = F.max(F.when(F.col("stack_start"), F.col("pos"))).over(Window.partitionBy("burst_id").orderBy("pos"))
+    return rows.withColumn("first_pos", start).groupBy("burst_id", "first_pos").agg(
+        F.count(F.lit(1)).alias("frames"), r6(F.max("stack_confidence")).alias("confidence"), r6(F.max("max_distance")).alias("max_distance")
+    )
+
+
+@query(STACK_SQL + """, q AS (SELECT a.pos = a.start AND false AS x, a.vec_id AS a, b.vec_id AS b, (a.vec_id % 3 = b.vec_id % 3) AS must, (a.burst_id = b.burst_id AND a.start = b.start) AS together
+                              FROM m a JOIN m b ON b.vec_id = a.vec_id + 1)
+SELECT count(*) AS pairs, round(avg(CASE WHEN must THEN (together = must)::INT END), 6) AS must_link, round(avg(CASE WHEN NOT must THEN (together = must)::INT END), 6) AS cannot_link,
+       round(avg((together = must)::INT), 6) AS pair_accuracy FROM q""")
+def accuracy_pairs(spark, sf_dir):
+    rows = stacked(spark, sf_dir)
+    start = F.max(F.when(F.col("stack_start"), F.col("pos"))).over(Window.partitionBy("burst_id").orderBy("pos"))
+    stacks = rows.select(F.col("vec_id").alias("id"), F.concat_ws(":", "burst_id", start).alias("stack_id"))
+    ids = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
+    pairs = ids.withColumn("must", F.col("a") % 3 == F.col("b") % 3)
+    out = accuracy.pair_accuracy(pairs, stacks)
+    return out.select("pairs", *[r6(F.col(c)).alias(c) for c in ("must_link", "cannot_link", "pair_accuracy")])
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each descriptor as an image of 8 by 8 pixels."""
+    return descriptors(spark, sf_dir).select("vec_id", F.posexplode("u8").alias("at", "v")).select("vec_id", (F.col("at") % 8).alias("x"), F.floor(F.col("at") / 8).cast("int").alias("y"), F.col("v").cast("bigint").alias("v"))
+
+
+PIXELS_SQL = f"WITH {V_SQL}, px AS (SELECT vec_id, (t.i % 8)::INT AS x, (t.i // 8)::INT AS y, u8[t.i + 1] AS v FROM v, range(0, 64) t(i))"
+
+
+@query(PIXELS_SQL + " SELECT v AS value, count(*) AS pixels FROM px GROUP BY v")
+def luma_histogram(spark, sf_dir):
+    return pixels(spark, sf_dir).groupBy(F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("pixels"))
+
+
+@query(PIXELS_SQL + """, r AS (SELECT vec_id, v, row_number() OVER (PARTITION BY vec_id ORDER BY v) AS k FROM px)
+SELECT vec_id, max(CASE WHEN k = 4 THEN v END) AS p5, max(CASE WHEN k = 61 THEN v END) AS p95, round((max(CASE WHEN k = 61 THEN v END) - max(CASE WHEN k = 4 THEN v END)) / 255.0, 6) AS contrast FROM r GROUP BY vec_id""")
+def histogram_percentile(spark, sf_dir):
+    bins = pixels(spark, sf_dir).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    running = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("vec_id").orderBy("v")))
+    at = lambda p: F.min(F.when(F.col("upto") > F.round(F.lit(63 * p / 100)), F.col("v")))
+    return running.groupBy("vec_id").agg(at(5).alias("p5"), at(95).alias("p95")).withColumn("contrast", r6((F.col("p95") - F.col("p5")) / 255.0))
+
+
+@query(PIXELS_SQL + """ SELECT vec_id, count(*) FILTER (WHERE v < 90 OR v > 165) AS clipped, sum(v)::BIGINT AS luma_sum,
+round(1 - least(1.0, 6 * (count(*) FILTER (WHERE v < 90 OR v > 165) / 64.0) + 0.35 * least(1.0, abs(sum(v) / 64.0 / 255.0 - 0.52) / 0.52)), 6) AS exposure FROM px GROUP BY vec_id""")
+def exposure_contrast(spark, sf_dir):
+    sums = pixels(spark, sf_dir).groupBy("vec_id").agg(F.count_if((F.col("v") < 90) | (F.col("v") > 165)).alias("clipped"), F.sum("v").alias("luma_sum"))
+    return sums.withColumn("exposure", r6(C.exposure_score(F.col("clipped") / 64.0, F.col("luma_sum") / 64.0 / 255.0)))
+
+
+@query(PIXELS_SQL + """, n AS (SELECT *, lag(v) OVER r AS l, lead(v) OVER r AS rt, lag(v) OVER c AS u, lead(v) OVER c AS dn FROM px WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y)),
+k AS (SELECT vec_id, CASE WHEN l IS NOT NULL AND rt IS NOT NULL AND u IS NOT NULL AND dn IS NOT NULL THEN l + rt + u + dn - 4 * v END AS lap, rt - v AS dx, dn - v AS dy FROM n)
+SELECT vec_id, sum(lap)::BIGINT AS lap_sum, sum(lap * lap)::BIGINT AS lap_squares, sum(dx * dx)::BIGINT AS dx_squares, sum(dy * dy)::BIGINT AS dy_squares,
+       round(sum(lap * lap) / 36.0 - (sum(lap) / 36.0) * (sum(lap) / 36.0), 6) AS sharpness, round(sum(dx * dx) / 56.0 + sum(dy * dy) / 56.0, 6) AS tenengrad FROM k GROUP BY vec_id""")
+def focus_partials(spark, sf_dir):
+    row, col = Window.partitionBy("vec_id", "y").orderBy("x"), Window.partitionBy("vec_id", "x").orderBy("y")
+    v = F.col("v")
+    near = pixels(spark, sf_dir).select(
+        "vec_id", (F.lag(v).over(row) + F.lead(v).over(row) + F.lag(v).over(col) + F.lead(v).over(col) - 4 * v).alias("lap"), (F.lead(v).over(row) - v).alias("dx"), (F.lead(v).over(col) - v).alias("dy")
+    )
+    sums = near.groupBy("vec_id").agg(F.sum("lap").alias("lap_sum"), F.sum(F.col("lap") * F.col("lap")).alias("lap_squares"), F.sum(F.col("dx") * F.col("dx")).alias("dx_squares"), F.sum(F.col("dy") * F.col("dy")).alias("dy_squares"))
+    mean = F.col("lap_sum") / 36.0
+    return sums.withColumns({"sharpness": r6(F.col("lap_squares") / 36.0 - mean * mean), "tenengrad": r6(F.col("dx_squares") / 56.0 + F.col("dy_squares") / 56.0)})
+
+
+@query(PIXELS_SQL + """ SELECT vec_id, x, y, least(255, coalesce(abs(lead(v) OVER r - lag(v) OVER r) + abs(lead(v) OVER c - lag(v) OVER c), 0))::BIGINT AS edge FROM px WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y)""")
+def edge_descriptor(spark, sf_dir):
+    row, col = Window.partitionBy("vec_id", "y").orderBy("x"), Window.partitionBy("vec_id", "x").orderBy("y")
+    v = F.col("v")
+    sum_of = F.abs(F.lead(v).over(row) - F.lag(v).over(row)) + F.abs(F.lead(v).over(col) - F.lag(v).over(col))
+    return pixels(spark, sf_dir).select("vec_id", "x", "y", F.least(F.lit(255), F.coalesce(sum_of, F.lit(0))).alias("edge"))
+
+
+@query(PIXELS_SQL + """, b AS (SELECT vec_id, v, row_number() OVER (PARTITION BY vec_id ORDER BY v) AS k FROM px WHERE x IN (0, 7) OR y IN (0, 7)),
+m AS (SELECT vec_id, max(v) FILTER (WHERE k = 15) AS bg FROM b GROUP BY vec_id),
+d AS (SELECT px.*, abs(v - bg) AS dev, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v - bg)) AS k FROM px JOIN m USING (vec_id)),
+t AS (SELECT vec_id, least(greatest(max(dev) FILTER (WHERE k = 45) * 3, 12), 72) AS thr FROM d GROUP BY vec_id)
+SELECT vec_id, max(thr)::BIGINT AS threshold, count(*) FILTER (WHERE dev >= thr) AS foreground FROM d JOIN t USING (vec_id) GROUP BY vec_id""")
+def foreground_mask(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    border = px.where(F.col("x").isin(0, 7) | F.col("y").isin(0, 7)).groupBy("vec_id").agg(F.element_at(F.sort_array(F.collect_list("v")), 15).alias("bg"))
+    off = px.join(border, "vec_id").withColumn("dev", F.abs(F.col("v") - F.col("bg")))
+    each = off.groupBy("vec_id").agg(F.sort_array(F.collect_list("dev")).alias("devs"))  # 64 pixels an image
+    limit = F.least(F.greatest(F.element_at("devs", 45) * 3, F.lit(12)), F.lit(72))
+    return each.select("vec_id", limit.alias("threshold"), F.size(F.filter("devs", lambda d: d >= limit)).cast("bigint").alias("foreground"))
+
+
+BOX_SQL = """b AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: round((x::DOUBLE + 1) / 2, 4)) AS e FROM embeddings),
+c AS (SELECT vec_id, least(e[1], e[2]) AS ax0, least(e[3], e[4]) AS ay0, greatest(e[1], e[2]) AS ax1, greatest(e[3], e[4]) AS ay1, least(e[5], e[6]) AS bx0, least(e[7], e[8]) AS by0, greatest(e[5], e[6]) AS bx1, greatest(e[7], e[8]) AS by1 FROM b)"""
+
+
+@query(f"""WITH {BOX_SQL}, i AS (SELECT *, greatest(least(ax1, bx1) - greatest(ax0, bx0), 0.0) * greatest(least(ay1, by1) - greatest(ay0, by0), 0.0) AS shared FROM c),
+o AS (SELECT vec_id, shared, (ax1 - ax0) * (ay1 - ay0) + (bx1 - bx0) * (by1 - by0) - shared AS either FROM i)
+SELECT vec_id, round(CASE WHEN either > 0 THEN shared / either ELSE 0.0 END, 6) AS iou, CASE WHEN either > 0 THEN shared / either ELSE 0.0 END >= 0.25 AS consistent FROM o""")
+def box_consistency(spark, sf_dir):
+    e = lambda i: F.round((F.get("embedding", F.lit(i)).cast("double") + 1) / 2, 4)
+    box = lambda k: [F.least(e(k), e(k + 1)), F.least(e(k + 2), e(k + 3)), F.greatest(e(k), e(k + 1)), F.greatest(e(k + 2), e(k + 3))]
+    share = C.iou(box(0), box(4))
+    return read(spark, sf_dir, "embeddings").select("vec_id", r6(share).alias("iou"), (share >= 0.25).alias("consistent"))
+
+
+@query("""SELECT vec_id, round(CASE WHEN vec_id % 10 > 0 AND vec_id % 3 > 0 THEN greatest(0.4, (vec_id % 10) / 10.0) ELSE 0.4 END, 6) AS confidence,
+round(CASE WHEN vec_id % 10 > 0 AND vec_id % 3 > 0 THEN 0.62 * 0.7 + 0.38 * (1 - (vec_id % 7) / 7.0) ELSE 0.7 END, 6) AS completeness FROM embeddings""")
+def detection_merge(spark, sf_dir):
+    i = F.col("vec_id")
+    found, count, risk = (i % 10) / 10.0, i % 3, (i % 7) / 7.0
+    return read(spark, sf_dir, "embeddings").select("vec_id", r6(C.merged_confidence(F.lit(0.4), found, count)).alias("confidence"), r6(C.merged_completeness(F.lit(0.7), found, count, risk)).alias("completeness"))
+
+
+# -- L: line items as ranked members -----------------------------------------------------------------------------------
+
+
+def ranked_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem")
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    frames = rows.select(
+        F.col("l_orderkey").alias("stack_id"), F.row_number().over(place).cast("bigint").alias("pos"), F.col("l_quantity").alias("sharpness"), F.col("l_extendedprice").alias("tenengrad"),
+        (F.col("l_discount") * 100).alias("subject_sharpness"), (F.col("l_tax") * 100).alias("subject_tenengrad"), (1 - F.col("l_discount")).alias("completeness"), F.col("l_tax").alias("contrast"),
+        ((F.col("l_linenumber") % 10) / 10.0).alias("object_confidence"), (1 - F.col("l_tax")).alias("exposure_score"), F.col("l_discount").alias("border_energy_fraction"),
+        ((F.col("l_suppkey") % 10) / 10.0).alias("subject_confidence"), ((F.col("l_partkey") % 100) / 100.0).alias("duplicate_confidence"),
+        F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 5), "unreadable").alias("error"), F.lit("cpu").alias("feature_backend"),
+    )
+    with_id = frames.withColumn("id", F.concat_ws("-", "stack_id", "pos"))
+    return ranking.rank_stacks(with_id, RANK_OPTIONS, digits=6)
+
+
+def sql_norm(x: str) -> str:
+    low, high = f"min(ln(1 + greatest({x}, 0.0))) OVER s", f"max(ln(1 + greatest({x}, 0.0))) OVER s"
+    return f"CASE WHEN {high} - {low} < 1e-9 THEN 0.5 ELSE (ln(1 + greatest({x}, 0.0)) - {low}) / ({high} - {low}) END"
+
+
+RANK_SQL = f"""
+WITH a AS (SELECT l_orderkey AS stack_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS pos, l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_tax AS t,
+  (l_linenumber % 10) / 10.0 AS oc, (l_suppkey % 10) / 10.0 AS sc, (l_partkey % 100) / 100.0 AS dc, CASE WHEN l_returnflag = 'A' AND l_linenumber = 5 THEN 'unreadable' END AS error FROM lineitem),
+n AS (SELECT *, {sql_norm("q")} AS n1, {sql_norm("p")} AS n2, {sql_norm("d * 100")} AS n3, {sql_norm("t * 100")} AS n4 FROM a WINDOW s AS (PARTITION BY stack_id)),
+g AS (SELECT *, CASE WHEN sc >= 0.3 THEN 0.72 * (0.70 * n3 + 0.30 * n4) + 0.28 * (0.70 * n1 + 0.30 * n2) ELSE 0.70 * n1 + 0.30 * n2 END AS sharp FROM n),
+c AS (SELECT *, round(CASE WHEN error IS NOT NULL THEN 0.0 ELSE 0.60 * sharp + 0.18 * (1 - d) + 0.10 * t + 0.07 * oc + 0.05 * (1 - t) - 0.08 * least(d / 0.35, 1.0) END, 6) AS score FROM g),
+r AS (SELECT *, (row_number() OVER (PARTITION BY stack_id ORDER BY score DESC, pos))::INT AS rank, count(*) OVER (PARTITION BY stack_id) AS stack_size FROM c),
+k AS (SELECT *, least(2, stack_size)::INT AS keep_count FROM r),
+z AS (SELECT *, stack_id::VARCHAR || '-' || pos::VARCHAR AS id, max(CASE WHEN rank = keep_count THEN score END) OVER (PARTITION BY stack_id) AS keep_threshold FROM k),
+y AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'error' WHEN stack_size = 1 OR rank <= keep_count THEN 'keep' WHEN dc < 0.52 THEN 'review' WHEN score >= keep_threshold - 0.035 THEN 'review' ELSE 'reject' END AS action,
+  CASE WHEN error IS NOT NULL THEN 'decode error' WHEN stack_size = 1 THEN 'distinct frame' WHEN rank <= keep_count THEN 'best quality in stack ' || stack_id WHEN dc < 0.52 THEN 'similarity is uncertain in stack ' || stack_id
+       WHEN score >= keep_threshold - 0.035 THEN 'near quality tie in stack ' || stack_id ELSE 'high-confidence duplicate in stack ' || stack_id END AS reason FROM z)
+"""
+
+
+@query(RANK_SQL + "SELECT id, round(n1, 6) AS sharpness, round(n2, 6) AS tenengrad, round(n3, 6) AS subject_sharpness, round(n4, 6) AS subject_tenengrad FROM y")
+def minmax_norm(spark, sf_dir):
+    return ranked_members(spark, sf_dir).select("id", *[r6(F.col(f"n_{c}")).alias(c) for c in ranking.FOCUS])
+
+
+@query(RANK_SQL + "SELECT id, score FROM y")
+def quality_score(spark, sf_dir):
+    return ranked_members(spark, sf_dir).select("id", "score")
+
+
+@query(RANK_SQL + "SELECT id, rank, stack_size, keep_count, keep_threshold, first_value(id) OVER (PARTITION BY stack_id ORDER BY rank) AS best_id FROM y")
+def stack_rank(spark, sf_dir):
+    return ranked_members(spark, sf_dir).select("id", "rank", "stack_size", "keep_count", "keep_threshold", "best_id")
+
+
+@query(RANK_SQL + "SELECT id, action, reason FROM y")
+def suggestion_ladder(spark, sf_dir):
+    return ranking.suggest(ranked_members(spark, sf_dir), RANK_OPTIONS).select("id", "action", "reason")
+
+
+@query(RANK_SQL + """SELECT id, 'Ranked ' || rank || ' of ' || stack_size || ' in near-duplicate stack ' || stack_id || '; keeper count is ' || keep_count || '.' AS first_line,
+CASE WHEN error IS NOT NULL THEN 1 ELSE 5 + (pos % 2 = 0)::INT + (pos % 3 > 0)::INT END AS lines FROM y WHERE error IS NULL""")
+def explanation_lines(spark, sf_dir):
+    extra = {"burst_id": F.lit(1), "nearest_distance": F.lit(0.1), "clipped_fraction": F.lit(0.01), "refine_feature_ms": F.when(F.col("pos") % 2 == 0, 2.0).otherwise(0.0), "refine_decode_ms": F.lit(1.0), "n_files": F.col("pos") % 3 + 1}
+    rows = ranked_members(spark, sf_dir).withColumns(extra).where("error IS NULL").withColumn("why", ranking.explanations())
+    return rows.select("id", F.element_at("why", 1).alias("first_line"), F.size("why").alias("lines"))
+
+
+@query(RANK_SQL + "SELECT id FROM y WHERE stack_size > 1 AND error IS NULL AND rank <= least(greatest(2, keep_count), stack_size)")
+def refinement_topk(spark, sf_dir):
+    return ranking.refinement_candidates(ranked_members(spark, sf_dir), RANK_OPTIONS).select("id")
+
+
+@query(RANK_SQL + """SELECT id, round(CASE WHEN stack_size > 1 AND error IS NULL AND rank <= 2 AND pos % 2 = 0 THEN q * 1.5 ELSE q END, 6) AS sharpness,
+CASE WHEN stack_size > 1 AND error IS NULL AND rank <= 2 AND pos % 2 = 0 THEN 'cpu+refined_2048' ELSE 'cpu' END AS feature_backend FROM y""")
+def refine_update_join(spark, sf_dir):
+    frames = ranked_members(spark, sf_dir)
+    refined = ranking.refinement_candidates(frames, RANK_OPTIONS).where("pos % 2 = 0").select("id", F.lit(2048).alias("refine_size"), (F.col("sharpness") * 1.5).alias("sharpness"))
+    return ranking.update_metrics(frames.select("id", "sharpness", "feature_backend"), refined, ["sharpness"]).select("id", r6(F.col("sharpness")).alias("sharpness"), "feature_backend")
+
+
+@query(RANK_SQL + """SELECT count(*) AS frames, count(DISTINCT stack_id) AS stacks, count(*) FILTER (WHERE action = 'keep') AS keep_count, count(*) FILTER (WHERE action = 'review') AS review_count,
+count(*) FILTER (WHERE action = 'reject') AS reject_count, count(*) FILTER (WHERE action = 'error') AS error_count FROM y""")
+def action_summary(spark, sf_dir):
+    return ranking.action_summary(ranking.suggest(ranked_members(spark, sf_dir), RANK_OPTIONS))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (54 * (l_partkey % 256) + 183 * (l_suppkey % 256) + 19 * (l_orderkey % 256) + 128) >> 8 AS luma FROM lineitem")
+def luma_convert(spark, sf_dir):
+    c = lambda x: F.col(x) % 256
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", C.luma(c("l_partkey"), c("l_suppkey"), c("l_orderkey")).alias("luma"))
+
+
+@query(r"""
+WITH s AS (SELECT DISTINCT l_quantity::INT AS q FROM lineitem UNION SELECT 0), x AS (SELECT q, q / 4.0::DOUBLE AS slow, CASE WHEN q > 0 THEN 1 / (q * 7)::DOUBLE END AS fast FROM s)
+SELECT q, CASE WHEN slow <= 0 THEN '' WHEN slow < 1 AND round(1 / slow) >= 2 THEN '1/' || round(1 / slow)::BIGINT || 's'
+  ELSE regexp_replace(regexp_replace(CASE WHEN slow >= 10 THEN format('{:.0f}', slow) ELSE format('{:.2f}', slow) END, '0+$', ''), '\.$', '') || 's' END AS slow,
+  CASE WHEN fast IS NULL THEN '' ELSE '1/' || round(1 / fast)::BIGINT || 's' END AS fast FROM x WHERE slow < 10""")
+def exif_format(spark, sf_dir):
+    quantities = read(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("q")).distinct().unionByName(spark.range(1).select(F.col("id").cast("int").alias("q"))).distinct()
+    slow, fast = F.col("q") / 4.0, F.when(F.col("q") > 0, 1 / (F.col("q") * 7).cast("double"))
+    return quantities.where(slow < 10).select("q", C.shutter_text(slow).alias("slow"), C.shutter_text(fast).alias("fast"))
+
+
+# -- D and M: documents with labels as decisions, orders as journal ----------------------------------------------------
+
+
+def document_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    action = F.when(i % 11 == 0, "error").when(i % 3 == 0, "keep").when(i % 3 == 1, "review").otherwise("reject")
+    rel = F.concat("source", F.lit("/"), "lang", F.lit("_"), (i % 40).cast("string"), F.lit(".jpg"))
+    return read(spark, sf_dir, "documents").select(
+        i.cast("string").alias("id"), "doc_id", rel.alias("rel_path"), F.concat("lang", F.lit("_"), (i % 40).cast("string")).alias("stem"), action.alias("action"), F.floor(i / 5).alias("stack_id"),
+        ((i % 3) != 1).alias("has_raw"), ((i % 3) != 0).alias("has_compressed"),
+    )
+
+
+def label_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decision = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 0, F.lit(None).cast("string")).otherwise("keep")
+    return read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("asset_id"), decision.alias("decision"), F.when(F.col("quality") == 0, "low").alias("note"), F.col("doc_id").alias("updated_at"))
+
+
+def order_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a move of a document's file; finished ones were restored."""
+    i = F.col("o_orderkey")
+    asset = (i % 2000).cast("string")
+    return read(spark, sf_dir, "orders").select(
+        i.alias("idx"), asset.alias("asset_id"), F.when(i % 4 == 0, "counterpart").otherwise("primary").alias("source_set"), F.concat(F.lit("/card/"), asset, F.lit(".jpg")).alias("source"),
+        F.concat(F.when(i % 2 == 0, "/out/a/").otherwise("/out/ab/"), F.lit("op"), (i % 13).cast("string"), F.lit("/"), asset, F.lit(".jpg")).alias("destination"),
+        F.floor("o_totalprice").alias("size"), F.when(F.col("o_orderstatus") != "F", "later").alias("restored_at"),
+    )
+
+
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.with_decisions(document_frames(spark, sf_dir), label_decisions(spark, sf_dir))
+
+
+D_SQL = """
+WITH f AS (SELECT doc_id::VARCHAR AS id, doc_id, source || '/' || lang || '_' || (doc_id % 40) || '.jpg' AS rel_path, lang || '_' || (doc_id % 40) AS stem,
+  CASE WHEN doc_id % 11 = 0 THEN 'error' WHEN doc_id % 3 = 0 THEN 'keep' WHEN doc_id % 3 = 1 THEN 'review' ELSE 'reject' END AS action, doc_id // 5 AS stack_id, doc_id % 3 <> 1 AS has_raw, doc_id % 3 <> 0 AS has_compressed FROM documents),
+l AS (SELECT doc_id::VARCHAR AS asset_id, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 0 THEN NULL ELSE 'keep' END AS decision, CASE WHEN quality = 0 THEN 'low' END AS note, doc_id AS updated_at FROM labels),
+j AS (SELECT f.*, decision, note, coalesce(decision, action) AS final_action, coalesce(decision, CASE WHEN action = 'error' THEN 'review' ELSE action END) AS operation_action FROM f LEFT JOIN l ON f.id = l.asset_id),
+m AS (SELECT o_orderkey AS idx, (o_orderkey % 2000)::VARCHAR AS asset_id, CASE WHEN o_orderkey % 4 = 0 THEN 'counterpart' ELSE 'primary' END AS source_set, '/card/' || (o_orderkey % 2000) || '.jpg' AS source,
+  CASE WHEN o_orderkey % 2 = 0 THEN '/out/a/' ELSE '/out/ab/' END || 'op' || (o_orderkey % 13) || '/' || (o_orderkey % 2000) || '.jpg' AS destination, floor(o_totalprice)::BIGINT AS size,
+  CASE WHEN o_orderstatus <> 'F' THEN 'later' END AS restored_at FROM orders)
+"""
+
+
+@query(D_SQL + "SELECT id, decision, note, final_action, operation_action FROM j")
+def final_action_join(spark, sf_dir):
+    return decided(spark, sf_dir).select("id", "decision", "note", "final_action", "operation_action")
+
+
+@query(D_SQL + "SELECT CASE final_action WHEN 'keep' THEN 'keepers' WHEN 'reject' THEN 'rejects' ELSE 'review' END AS file, count(*) AS rows FROM j GROUP BY 1")
+def export_routing(spark, sf_dir):
+    return decided(spark, sf_dir).groupBy(review.export_file(F.col("final_action")).alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(D_SQL + "SELECT id, rel_path FROM j WHERE final_action = 'keep' AND contains(lower(rel_path || ' ' || stem), 'src1')")
+def review_filter(spark, sf_dir):
+    return review.review_filter(decided(spark, sf_dir), "keep", "SRC1").select("id", "rel_path")
+
+
+@query(D_SQL + "SELECT stack_id, bool_and(final_action = 'keep') AS collapsed, count(*) AS frames FROM j GROUP BY stack_id ORDER BY collapsed, stack_id LIMIT 20")
+def collapsed_stacks(spark, sf_dir):
+    return review.collapsed_stacks(decided(spark, sf_dir), 20)
+
+
+@query(D_SQL + """SELECT count(*) FILTER (WHERE final_action = 'keep') AS keep, count(*) FILTER (WHERE final_action = 'review') AS review, count(*) FILTER (WHERE final_action = 'reject') AS reject,
+count(*) FILTER (WHERE final_action = 'error') AS error, count(*) FILTER (WHERE id IN (SELECT asset_id FROM m WHERE restored_at IS NULL)) AS moved FROM j""")
+def decision_counts(spark, sf_dir):
+    moved = order_journal(spark, sf_dir).where("restored_at IS NULL").select(F.col("asset_id").alias("id"), F.lit(True).alias("is_moved")).distinct()
+    return review.decision_counts(decided(spark, sf_dir).join(moved, "id", "left").withColumn("moved", F.col("is_moved").isNotNull()))
+
+
+@query(D_SQL + """, u AS (SELECT id AS asset_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'keep' ELSE 'review' END AS decision, CASE WHEN doc_id % 8 = 0 THEN ' ' END AS note, doc_id + 1 AS updated_at FROM f WHERE doc_id % 2 = 0 OR doc_id % 5 = 1),
+b AS (SELECT *, 0 AS w FROM l UNION ALL SELECT *, 1 FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY w DESC, updated_at DESC) AS k FROM b)
+SELECT asset_id, decision, note, updated_at FROM r WHERE k = 1 AND (decision IS NOT NULL OR trim(coalesce(note, '')) <> '')""")
+def decision_upsert(spark, sf_dir):
+    i = F.col("doc_id")
+    updates = document_frames(spark, sf_dir).where((i % 2 == 0) | (i % 5 == 1)).select(
+        F.col("id").alias("asset_id"), F.when(i % 4 == 1, "keep").when(i % 4 != 0, "review").alias("decision"), F.when(i % 8 == 0, " ").alias("note"), (i + 1).alias("updated_at")
+    )
+    return review.upsert_decisions(label_decisions(spark, sf_dir), updates).select("asset_id", "decision", "note", "updated_at")
+
+
+@query(D_SQL + "SELECT id FROM j WHERE operation_action = 'reject' AND id NOT IN (SELECT asset_id FROM m WHERE restored_at IS NULL)")
+def movable_rejects(spark, sf_dir):
+    return review.movable_rejects(decided(spark, sf_dir), order_journal(spark, sf_dir)).select("id")
+
+
+@query(D_SQL + r"""SELECT source_set, array_to_string(list_sort(list(DISTINCT asset_id)), ',') AS asset_ids, count(*) AS files, sum(size)::BIGINT AS bytes,
+count(DISTINCT regexp_extract(destination, '^(.*)/[^/]*$', 1)) AS folders FROM m WHERE restored_at IS NULL GROUP BY source_set""")
+def move_status(spark, sf_dir):
+    return moves.move_status(order_journal(spark, sf_dir)).withColumn("asset_ids", F.array_join("asset_ids", ","))
+
+
+@query(D_SQL + """, p AS (SELECT '/card/' || id || '.jpg' AS path FROM f), a AS (SELECT source, arg_max(destination, idx) AS moved_to FROM m WHERE restored_at IS NULL GROUP BY source)
+SELECT path, coalesce(moved_to, path) AS resolved FROM p LEFT JOIN a ON path = source""")
+def resolve_source(spark, sf_dir):
+    paths = document_frames(spark, sf_dir).select(F.concat(F.lit("/card/"), "id", F.lit(".jpg")).alias("path"))
+    return moves.resolve_sources(paths, order_journal(spark, sf_dir)).select("path", "resolved")
+
+
+@query(D_SQL + """, n AS (SELECT id, rel_path, row_number() OVER (PARTITION BY rel_path ORDER BY doc_id) - 1 AS n FROM f)
+SELECT id, '/moved/' || CASE WHEN n = 0 THEN rel_path ELSE replace(rel_path, '.jpg', '_' || n || '.jpg') END AS target FROM n""")
+def move_targets(spark, sf_dir):
+    return moves.plan_targets(document_frames(spark, sf_dir), "/moved", F.col("doc_id")).select("id", "target")
+
+
+@query(D_SQL + "SELECT idx, CASE WHEN starts_with(destination, '/out/a/') THEN '/new/place' || substring(destination, 7) ELSE destination END AS destination FROM m")
+def journal_rewrite(spark, sf_dir):
+    return moves.rewrite_destinations(order_journal(spark, sf_dir), "/out/a", "/new/place").select("idx", "destination")
+
+
+@query(D_SQL + """, c AS (SELECT page_id::VARCHAR AS card_id, upper((['en', 'de', 'fr', 'es', 'it'])[page_id % 5 + 1] || '_' || (page_id % 40)) AS stem, page_id % 2 = 0 AS has_raw, page_id % 3 = 0 AS has_compressed FROM pages),
+o AS (SELECT lower(stem) AS k, kind, count(*) AS n, min(card_id) AS card_id FROM (SELECT stem, card_id, 'raw' AS kind FROM c WHERE has_raw UNION ALL SELECT stem, card_id, 'compressed' FROM c WHERE has_compressed) GROUP BY 1, 2),
+s AS (SELECT lower(stem) AS k, count(*) AS same FROM j GROUP BY 1),
+x AS (SELECT id, stem, CASE WHEN has_raw AND NOT has_compressed THEN 'compressed' WHEN has_compressed AND NOT has_raw THEN 'raw' END AS expected_kind FROM j WHERE operation_action = 'reject'),
+y AS (SELECT x.*, o.card_id AS found, CASE WHEN expected_kind IS NULL THEN 'skipped_paired' WHEN id IN (SELECT asset_id FROM m WHERE restored_at IS NULL AND source_set = 'counterpart') THEN 'already_applied'
+      WHEN same > 25 THEN 'conflicting' WHEN o.n IS NULL THEN 'unmatched' WHEN o.n > 1 THEN 'ambiguous' ELSE 'matched' END AS status
+      FROM x JOIN s ON lower(x.stem) = s.k LEFT JOIN o ON lower(x.stem) = o.k AND o.kind = x.expected_kind)
+SELECT id, stem, expected_kind, CASE WHEN status IN ('skipped_paired', 'already_applied') THEN status WHEN (SELECT same FROM s WHERE s.k = lower(y.stem)) > 1 THEN 'conflicting' ELSE status END AS status,
+       CASE WHEN status = 'matched' AND (SELECT same FROM s WHERE s.k = lower(y.stem)) = 1 THEN found END AS card_id FROM y""")
+def counterpart_plan(spark, sf_dir):
+    i = F.col("page_id")
+    langs = F.array(*[F.lit(x) for x in ("en", "de", "fr", "es", "it")])
+    card = read(spark, sf_dir, "pages").select(
+        i.cast("string").alias("card_id"), F.upper(F.concat(F.get(langs, (i % 5).cast("int")), F.lit("_"), (i % 40).cast("string"))).alias("stem"), (i % 2 == 0).alias("has_raw"), (i % 3 == 0).alias("has_compressed")
+    )
+    active = order_journal(spark, sf_dir).where("restored_at IS NULL AND source_set = 'counterpart'")
+    return counterpart.plan_counterparts(decided(spark, sf_dir), card, active)
+
+
+@query("""SELECT o_custkey, count(DISTINCT o_orderstatus) > 1 AS o_orderstatus_varies, count(DISTINCT o_orderpriority) > 1 AS o_orderpriority_varies,
+count(DISTINCT (o_orderstatus, o_orderpriority)) > 1 AS record_varies FROM orders GROUP BY o_custkey""")
+def metadata_diff(spark, sf_dir):
+    return review.metadata_varies(read(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{n}', {p}, {r}, {k}, {d}, {c})" for (w, n), (p, r, k, d, c) in PRESETS.items()) + ") t(surface, preset, preview_size, refine_size, refine_candidates, distance, confidence)")
+def presets(spark, sf_dir):
+    rows = [(w, n, *values) for (w, n), values in PRESETS.items()]
+    return spark.createDataFrame(rows, "surface string, preset string, preview_size int, refine_size int, refine_candidates int, distance double, confidence double")
+
+
+@query("SELECT o_orderkey, CASE WHEN b < 1024 THEN format('{:.1f} B', b) WHEN b < 1048576 THEN format('{:.1f} KiB', b / 1024.0) ELSE format('{:.1f} MiB', b / 1048576.0) END AS text FROM (SELECT o_orderkey, (o_orderkey * 997)::DOUBLE AS b FROM orders)")
+def bytes_text(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", C.bytes_text((F.col("o_orderkey") * 997).cast("double")).alias("text"))
