@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, chat, count, mix, neardup, ordinal, rules, token_files, warc
+from framesift.llm import bpe, chat, count, mix, neardup, ordinal, rules, search, token_files, warc
 
 #: Two rows that carry control strings, which every template must give back as they are.
 PLANTED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -57,6 +57,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
+    "op8_bm25": op8_bm25,
     "op9_token_files": op9_token_files,
     "op10_quality_classifier": op10_quality_classifier,
 }
