@@ -60,11 +60,12 @@ def root_paths(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     while step < max(largest, 1) and not now.where("up IS NOT NULL").isEmpty():
         pointers.append(now.select("tree", "node", "up").where("up IS NOT NULL"))
         far = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
-        joined = now.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        now = stage(
-            joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("further", F.lit(0))).alias("length")),
-            "up",
+        # messages that have reached their root wait; only the others look further up
+        joined = now.where("up IS NOT NULL").join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
+        grown = joined.select(
+            "tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("further", F.lit(0))).alias("length")
         )
+        now = stage(now.where("up IS NULL").unionByName(grown), "up")
         step *= 2
     return now.where("up IS NULL").drop("up"), pointers
 
