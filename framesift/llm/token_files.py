@@ -15,17 +15,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.llm.bpe import no_collection
+from framesift.llm.held import held, release
 from framesift.plans.staging import shared_path
 
 #: Bytes of a row group and of a page and rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 1_000
 
 #: Words a worker remembers at a time (twice as many with those of the time before), and files whose totals are broadcast.
-MAX_KNOWN, MAX_BROADCAST_FILES = 450_000, 200_000
+MAX_KNOWN, MAX_BROADCAST_FILES = 250_000, 200_000
 
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, start_in_file bigint, file int, ids array<int>"
 
@@ -90,13 +93,9 @@ class LibraryEncoder:
         return [next(heads) + b"".join(map(known.__getitem__, words if p else ())) for words, p in zip(split, plain)]
 
 
-_BUILT: dict[str, LibraryEncoder] = {}
-
-
 def library_encoder(path: str) -> LibraryEncoder:
-    if path not in _BUILT:
-        _BUILT[path] = LibraryEncoder(path)
-    return _BUILT[path]
+    """Kept in the worker."""
+    return held(("library", path), lambda: LibraryEncoder(path))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int | None = 0, files: int | None = None) -> None:
@@ -117,15 +116,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int | N
         from pyspark import TaskContext
 
         encoder, file, start = library_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            with no_collection():
-                ids = [x + tail for x in encoder.encode_batch(batch.column("text").to_pylist())]
-            counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            ends = np.cumsum(counts)
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]) if len(ids) else 0, [None, pa.py_buffer(b"".join(ids))])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(start + ends - counts), pa.array(np.full(len(ids), file, np.int32)), lists], ["doc_id", "n_tokens", "start_in_file", "file", "ids"])
-            start += int(ends[-1]) if len(ids) else 0
+        for whole in batches:
+            for batch in (whole.slice(i, PAGE_ROWS) for i in range(0, len(whole), PAGE_ROWS)):
+                with no_collection():
+                    ids = [x + tail for x in encoder.encode_batch(batch.column("text").to_pylist())]
+                ends = np.cumsum([len(x) // 4 for x in ids])
+                counts = np.diff(ends, prepend=0)
+                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(start + ends - counts), pa.array(np.full(len(ids), file, np.int32)), lists], ["doc_id", "n_tokens", "start_in_file", "file", "ids"])
+                start += int(ends[-1])
 
     (
         dealt.mapInArrow(encode, FILE_SCHEMA)
@@ -139,35 +139,48 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int | N
     )
 
 
-def read_token_files(spark, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and ids.
+def files_before(rows: DataFrame) -> DataFrame:
+    """file and before, the ids of all files before it: from the files' totals, a query that reads two small columns.
 
-    Starts come from the files' totals, a query that reads two small columns, summed in file order: one row a file.
-    These are broadcast if the files are no more than MAX_BROADCAST_FILES, so that ids stay where they are read.
+    One row a file; broadcast if they are no more than MAX_BROADCAST_FILES, so that what is joined stays where it is.
     """
-    rows = spark.read.schema(FILE_SCHEMA).parquet(path)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
-    if len(rows.inputFiles()) <= MAX_BROADCAST_FILES:
-        before = F.broadcast(before)
-    return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+    return F.broadcast(before) if len(rows.inputFiles()) <= MAX_BROADCAST_FILES else before
+
+
+def read_token_files(spark, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens and ids; a filter on doc_id reaches the pages' statistics."""
+    rows = spark.read.schema(FILE_SCHEMA).parquet(path)
+    return rows.join(files_before(rows), "file").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
-def token_checksums(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the unsigned CRC-32 of the ids as little-endian 32-bit integers."""
+def token_checksums(spark, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and the unsigned CRC-32 of the ids as little-endian 32-bit integers, read from the files.
+
+    A task opens its files and takes their pages in batches of PAGE_ROWS rows, so it holds few ids at a time.
+    """
+    rows = spark.read.schema(FILE_SCHEMA).parquet(path)
+    files = spark.createDataFrame([(f,) for f in rows.inputFiles()], "path string")
 
     def run(batches):
+        release()
         for batch in batches:
-            lists = batch.column("ids")
-            values, at = np.asarray(lists.values.to_numpy(zero_copy_only=False), "<i4"), lists.offsets.to_numpy()
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for name in batch.column("path").to_pylist():
+                system, inner = fs.FileSystem.from_uri(name)
+                with system.open_input_file(inner) as file:
+                    for part in pq.ParquetFile(file).iter_batches(PAGE_ROWS):
+                        lists = part.column("ids")
+                        values, at = np.asarray(lists.values.to_numpy(zero_copy_only=False), "<i4"), lists.offsets.to_numpy().tolist()
+                        sums = [zlib.crc32(values[a:b]) for a, b in zip(at, at[1:])]
+                        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("file", "doc_id", "start_in_file", "n_tokens")], pa.array(sums, pa.int64())], ["file", "doc_id", "start_in_file", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    found = files.repartition(max(1, files.count()), "path").mapInArrow(run, "file int, doc_id bigint, start_in_file bigint, n_tokens bigint, ids_crc32 bigint")
+    return found.join(files_before(rows), "file").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_file_digests(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write, read back, and digest."""
     path = shared_path(docs.sparkSession, "tokens")
     write_token_files(docs, tokenizer, path, end_id)
-    return token_checksums(read_token_files(docs.sparkSession, path))
+    return token_checksums(docs.sparkSession, path)
