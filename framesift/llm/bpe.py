@@ -26,7 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_STATES, MAX_WORDS = 200_000, 125_000
+from framesift.llm.held import held
+
+#: States of an automaton, words and pieces that are remembered (and as many of the time before).
+MAX_STATES, MAX_WORDS, MAX_PIECES = 200_000, 300_000, 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -117,8 +120,21 @@ class Merges:
         return found
 
 
+class State(dict):
+    """A determinised state: its members, and by byte the state reached and the output, worked out when first needed."""
+
+    __slots__ = ("machine", "members")
+
+    def __init__(self, machine: Transducer, members: tuple):
+        self.machine, self.members = machine, members
+
+    def __missing__(self, byte: int) -> tuple:
+        found = self[byte] = self.machine.move(self.members, byte)
+        return found
+
+
 class Transducer:
-    """Encodes pieces. A state is a tuple of (previous token, trie node, output not yet written).
+    """Encodes pieces. A state has members (previous token, trie node, output not yet written).
 
     ``whole`` gives pieces that are tokens these at once, as tiktoken does.
     """
@@ -130,9 +146,9 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple] = [((-1, 0, self.nothing),)]
-        self.number: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: list[dict[int, tuple]] = [{}]
+        start = ((-1, 0, self.nothing),)
+        self.start = State(self, start)
+        self.states: dict[tuple, State] = {start: self.start}
 
     def add(self, late, token: int):
         return (*late, token)
@@ -149,7 +165,7 @@ class Transducer:
     def without(self, late, shared):
         return late[shared:]
 
-    def move(self, state: int, byte: int) -> tuple:
+    def move(self, members: tuple, byte: int) -> tuple:
         """Determinise one transition: the state reached, and the output that is now certain.
 
         Members are in order of where their open token began, and the one between tokens, which every prefix has, is
@@ -157,7 +173,7 @@ class Transducer:
         """
         merges, grown, between = self.merges, [], None
         edges, ends, known = merges.edges, merges.ends, merges.known
-        for before, node, late in self.states[state]:
+        for before, node, late in members:
             node = edges[node].get(byte)
             if node is None:
                 continue
@@ -175,13 +191,10 @@ class Transducer:
             sure = between[2][:shared] if self.nothing == () else shared
             grown = [(before, node, self.without(late, shared)) for before, node, late in grown]
         key = tuple(grown)
-        at = self.number.get(key)
-        if at is None:
-            at = self.number[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
-        self.moves[state][byte] = found = (at, sure)
-        return found
+        reached = self.states.get(key)
+        if reached is None:
+            reached = self.states[key] = State(self, key)
+        return reached, sure
 
     def encode(self, piece: bytes):
         """All output for a piece; at its end that of the one member that is between tokens."""
@@ -189,12 +202,12 @@ class Transducer:
             return self.add(self.nothing, token)
         if len(self.states) > MAX_STATES:
             self.clear()
-        state, out, moves = 0, self.nothing, self.moves
+        state, out = self.start, self.nothing
         for byte in piece:
-            state, sure = moves[state].get(byte) or self.move(state, byte)
+            state, sure = state[byte]
             if sure:
                 out += sure
-        return out + self.states[state][-1][2]
+        return out + state.members[-1][2]
 
 
 class CountTransducer(Transducer):
@@ -215,16 +228,16 @@ class CountTransducer(Transducer):
 class Recent(dict):
     """Results by text, worked out when first needed. When there are too many, those not used since the last time go."""
 
-    def __init__(self, convert, lead: str = ""):
+    def __init__(self, convert, limit: int = MAX_PIECES):
         super().__init__()
-        self.convert, self.lead, self.older = convert, lead, {}
+        self.convert, self.limit, self.older = convert, limit, {}
 
     def __missing__(self, text: str):
         found = self.older.get(text)
         if found is None:
-            found = self.convert(self.lead + text if self.lead else text)
+            found = self.convert(text)
         if len(text) <= 64:
-            if len(self) >= MAX_WORDS:
+            if len(self) >= self.limit:
                 self.older = dict(self)
                 self.clear()
             self[text] = found
@@ -236,22 +249,31 @@ class TextEncoder:
 
     Texts are cut at spaces, and a word keeps the space before it: between a character that is not white space and a
     space the pattern always ends a piece, so pieces of such words are those of the whole text. That fails only for
-    words that are all white space, and texts with these are split as a whole.
+    words that are all white space, and texts with these are split as a whole. A word of letters is one piece, and so
+    is what a comma or full stop after one leaves; other words go to ``convert``, which splits by the pattern.
     """
 
-    def __init__(self, convert):
-        self.convert = convert
-        self.first, self.rest = Recent(convert), Recent(convert, " ")
-
-    def parts(self, text: str) -> Iterator:
+    def __init__(self, convert, piece):
+        self.convert, self.piece = convert, piece
+        self.first, self.rest = Recent(convert), Recent(self.word, MAX_WORDS)
+        self.ends = {c: piece(c) for c in ",."}
+
+    def word(self, word: str):
+        if word.isalpha():
+            return self.piece(" " + word)
+        end = self.ends.get(word[-1])
+        if end is not None and word[:-1].isalpha():
+            return self.rest[word[:-1]] + end
+        return self.convert(" " + word)
+
+    def cut(self, text: str):
+        """What the first word becomes, and an iterator over the others; the whole text's for one that can't be cut."""
         words = text.split(" ")
-        if any(not w or w.isspace() for w in words):
-            yield self.convert(text)
-            return
-        yield self.first[words[0]]
-        rest = self.rest
+        if not all(words) or any(map(str.isspace, words)):
+            return self.convert(text), ()
+        first = self.first[words[0]]
         del words[0]
-        yield from map(rest.__getitem__, words)
+        return first, map(self.rest.__getitem__, words)
 
 
 class BpeEncoder:
@@ -261,7 +283,7 @@ class BpeEncoder:
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(Merges(ranks))
         self.pieces = Recent(self.piece)
-        self.words = TextEncoder(self.convert)
+        self.words = TextEncoder(self.convert, self.piece)
 
     def piece(self, text: str) -> bytes:
         return array("I", self.transducer.encode(text.encode("utf-8", "surrogatepass"))).tobytes()
@@ -271,7 +293,8 @@ class BpeEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        ids = b"".join(self.words.parts(text)) if text else b""
+        first, rest = self.words.cut(text or "")
+        ids = first + b"".join(rest)
         return ids if sys.byteorder == "little" else np.frombuffer(ids, ">u4").astype("<u4").tobytes()
 
 
@@ -342,15 +365,14 @@ def no_collection():
         gc.enable()
 
 
-_BUILT: dict[tuple, tuple] = {}
-
-
 def codec(path: str, pattern: str) -> tuple[BpeEncoder, BpeDecoder]:
-    """Encoder and decoder of a rank file, built once in each worker."""
-    if (path, pattern) not in _BUILT:
+    """Encoder and decoder of a rank file, kept in the worker."""
+
+    def build():
         ranks = read_ranks(path)
-        _BUILT[path, pattern] = BpeEncoder(ranks, pattern), BpeDecoder(ranks)
-    return _BUILT[path, pattern]
+        return BpeEncoder(ranks, pattern), BpeDecoder(ranks)
+
+    return held(("bpe", path, pattern), build)
 
 
 BLOCK = 1 << 16

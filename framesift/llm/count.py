@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.bpe import CountTransducer, Merges, Recent, TextEncoder, no_collection
+from framesift.llm.held import held
 
 CHUNK = 1 << 16
 
@@ -61,8 +62,11 @@ class Counter:
         self.transducer = CountTransducer(Merges(vocabulary, lambda a, b: rank.get((a, b))), whole=bool(model["model"].get("ignore_merges")))
         self.split = regex.compile(pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda s: [s]
-        self.pieces = Recent(lambda piece: self.transducer.encode(piece.encode("utf-8", "surrogatepass")))
-        self.words = TextEncoder(self.convert)
+        self.pieces = Recent(self.piece)
+        self.words = TextEncoder(self.convert, self.piece)
+
+    def piece(self, text: str) -> int:
+        return self.transducer.encode(text.encode("utf-8", "surrogatepass"))
 
     def convert(self, text: str) -> int:
         total = 0
@@ -74,7 +78,8 @@ class Counter:
         return total
 
     def count(self, text: str | None) -> int:
-        return sum(self.words.parts(text)) if text else 0
+        first, rest = self.words.cut(text or "")
+        return first + sum(rest)
 
     def map(self, chunk: str) -> Map:
         """The state map of one chunk."""
@@ -119,14 +124,9 @@ class Counter:
         return self.count(whole.bare) if whole.bare is not None else self.count(whole.head) + whole.count + self.count(whole.tail)
 
 
-_BUILT: dict[tuple[str, str], Counter] = {}
-
-
 def counter(path: str, pattern: str) -> Counter:
-    """Built once in each worker."""
-    if (path, pattern) not in _BUILT:
-        _BUILT[path, pattern] = Counter(path, pattern)
-    return _BUILT[path, pattern]
+    """Kept in the worker."""
+    return held(("count", path, pattern), lambda: Counter(path, pattern))
 
 
 MAPS = "struct<ix:int, head:string, count:bigint, tail:string, bare:string>"
