@@ -18,7 +18,7 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """A number with so many decimals; what lies half-way goes to the even one."""
-    return F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits))
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits)))
 
 
 # -- names and paths ---------------------------------------------------------------------------------------------------

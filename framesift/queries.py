@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framesift.functions import columns as C
-from framesift.operators import accuracy, assets, bursts, counterpart, moves, ranking, review, similarity
+from framesift.operators import accuracy, assets, browser, bursts, counterpart, moves, ranking, reports, review, similarity
 from framesift.options import PRESETS, ScanOptions
 from framesift.plans.fold import number_rows
 
@@ -654,7 +654,7 @@ def metadata_diff(spark, sf_dir):
     return review.metadata_varies(read(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus", "o_orderpriority"])
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{n}', {p}, {r}, {k}, {d}, {c})" for (w, n), (p, r, k, d, c) in PRESETS.items()) + ") t(surface, preset, preview_size, refine_size, refine_candidates, distance, confidence)")
+@query("SELECT surface, preset, preview_size, refine_size, refine_candidates, distance::DOUBLE AS distance, confidence::DOUBLE AS confidence FROM (VALUES " + ", ".join(f"('{w}', '{n}', {p}, {r}, {k}, {d}, {c})" for (w, n), (p, r, k, d, c) in PRESETS.items()) + ") t(surface, preset, preview_size, refine_size, refine_candidates, distance, confidence)")
 def presets(spark, sf_dir):
     rows = [(w, n, *values) for (w, n), values in PRESETS.items()]
     return spark.createDataFrame(rows, "surface string, preset string, preview_size int, refine_size int, refine_candidates int, distance double, confidence double")
@@ -663,3 +663,118 @@ def presets(spark, sf_dir):
 @query("SELECT o_orderkey, CASE WHEN b < 1024 THEN format('{:.1f} B', b) WHEN b < 1048576 THEN format('{:.1f} KiB', b / 1024.0) ELSE format('{:.1f} MiB', b / 1048576.0) END AS text FROM (SELECT o_orderkey, (o_orderkey * 997)::DOUBLE AS b FROM orders)")
 def bytes_text(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", C.bytes_text((F.col("o_orderkey") * 997).cast("double")).alias("text"))
+
+
+# -- browser rules and reports -----------------------------------------------------------------------------------------
+
+
+@query("""SELECT page_id, 'web-' || lpad(lower(printf('%x', list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(url, ''), lambda c: unicode(c)::HUGEINT)),
+lambda h, c: (xor(h, c) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT)), 16, '0') AS id FROM pages""")
+def browser_ids(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", browser.fnv_id(F.col("url")).alias("id"))
+
+
+@query("""
+WITH b AS (SELECT page_id AS i, 'd' || (page_id % 7)::VARCHAR AS directory, 'IMG_' || lpad(page_id::VARCHAR, 5, '0') AS stem FROM pages)
+SELECT directory || '/' || stem || '.JPG' AS rel_path, directory, stem, 1 + (i % 2 = 0)::INT + (i % 3 = 0)::INT AS n_files, false AS raw_only FROM b""")
+def browser_grouping(spark, sf_dir):
+    return browser.group_files(url_files(spark, sf_dir)).select("rel_path", "directory", "stem", F.col("n_files").cast("int").alias("n_files"), "raw_only")
+
+
+@query("""SELECT page_id, row_number() OVER (ORDER BY page_id % 10, page_id) AS place FROM pages""")
+def natural_order(spark, sf_dir):
+    i = F.col("page_id")
+    name = F.concat(F.lit("Dir"), (i % 10).cast("string"), F.lit("/img"), i.cast("string"), F.lit(".jpg"))
+    keyed = read(spark, sf_dir, "pages").select("page_id", browser.natural_key(name).alias("k"))
+    return number_rows(keyed, [F.col("k")], "place").select("page_id", "place")
+
+
+@query(SESSION_SQL.replace("o.time_ms - prev >", "abs(o.time_ms - prev) >") + "SELECT event_id, burst_start FROM b")
+def browser_bursts(spark, sf_dir):
+    frames = event_frames(spark, sf_dir).withColumnRenamed("time_ms", "capture_ms").withColumn("modified_ms", F.lit(0).cast("bigint"))
+    return browser.split_bursts(frames, EVENT_OPTIONS).select("event_id", "burst_start")
+
+
+@query(RANK_SQL + "SELECT CASE action WHEN 'error' THEN 'review' ELSE action END AS action, count(*) AS frames FROM y GROUP BY 1")
+def browser_summary(spark, sf_dir):
+    return browser.summarize(ranking.suggest(ranked_members(spark, sf_dir), RANK_OPTIONS))
+
+
+@query(D_SQL + "SELECT asset_id, decision FROM l JOIN f ON f.id = l.asset_id WHERE decision IS NOT NULL AND decision <> action")
+def differing_decisions(spark, sf_dir):
+    return browser.differing_decisions(label_decisions(spark, sf_dir), document_frames(spark, sf_dir)).select("asset_id", "decision")
+
+
+@query("""WITH u AS (SELECT CASE event_type WHEN 'click' THEN 'cpu_avx2' WHEN 'view' THEN 'cpu_portable' ELSE 'cuda' END AS backend FROM events) SELECT backend, count(*) AS frames FROM u GROUP BY backend""")
+def backend_usage(spark, sf_dir):
+    backend = F.when(F.col("event_type") == "click", "cpu_avx2").when(F.col("event_type") == "view", "cpu_portable+refined_2048").otherwise("cuda+refined_4096")
+    return reports.backend_usage(read(spark, sf_dir, "events").select(backend.alias("feature_backend")))
+
+
+@query("""SELECT CASE WHEN count(*) FILTER (WHERE event_type NOT IN ('click', 'view')) = 0 THEN CASE WHEN count(*) FILTER (WHERE event_type = 'click') > 0 THEN 'cpu_avx2' ELSE 'cpu_portable' END
+WHEN count(*) FILTER (WHERE event_type IN ('click', 'view')) > 0 THEN 'cuda_with_cpu_fallback' ELSE 'cuda' END AS focus_backend FROM events""")
+def focus_backend(spark, sf_dir):
+    return reports.focus_backend(backend_usage(spark, sf_dir))
+
+
+@query(RANK_SQL + "SELECT id, lag(id) OVER (PARTITION BY stack_id ORDER BY rank) AS previous_id, lead(id) OVER (PARTITION BY stack_id ORDER BY rank) AS next_id FROM y")
+def stack_neighbours(spark, sf_dir):
+    return reports.neighbours(ranked_members(spark, sf_dir)).select("id", "previous_id", "next_id")
+
+
+@query(STACK_SQL + ", n AS (SELECT DISTINCT burst_id, dense_rank() OVER (ORDER BY burst_id, start) AS stack_id FROM m) SELECT burst_id, string_agg(stack_id::VARCHAR, '|' ORDER BY stack_id) AS cluster_ids FROM n GROUP BY burst_id")
+def burst_clusters(spark, sf_dir):
+    stacks = stacks_complete_link(spark, sf_dir).where("stack_start").join(descriptors(spark, sf_dir).select("vec_id", "burst_id"), "vec_id")
+    return reports.cluster_ids(stacks).select("burst_id", F.array_join(F.transform("cluster_ids", lambda x: x.cast("string")), "|").alias("cluster_ids"))
+
+
+@query(RANK_SQL + "SELECT id, row_number() OVER (ORDER BY stack_id % 7, stack_id, rank, id) AS place FROM y")
+def manifest_order(spark, sf_dir):
+    blank = {"burst_id": F.col("stack_id") % 7, "directory": F.col("id"), "prefix": F.lit(""), "seq": F.lit(None).cast("bigint"), "stem": F.col("id")}
+    return number_rows(ranked_members(spark, sf_dir).select("id", "stack_id", "rank").withColumns(blank), reports.manifest_order(), "place").select("id", "place")
+
+
+@query("""WITH x AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 > 0 THEN 100 * (c_custkey % 5 + 1) END AS iso, CASE WHEN c_custkey % 4 > 0 THEN 1.5 + c_custkey % 8 END AS f, CASE WHEN c_custkey % 5 = 1 THEN 0.004 END AS s,
+CASE WHEN c_custkey % 6 = 1 THEN 50.0 END AS mm FROM customer)
+SELECT k, CASE WHEN iso IS NULL AND f IS NULL AND s IS NULL AND mm IS NULL THEN 'no EXIF data' ELSE concat_ws('  ·  ', 'ISO ' || iso, 'f/' || format('{:.1f}', f::DOUBLE), CASE WHEN s IS NOT NULL THEN '1/250s' END,
+CASE WHEN mm IS NOT NULL THEN '50.0 mm' END, CASE WHEN mm IS NOT NULL THEN '75 mm equivalent' END) END AS line FROM x""")
+def exif_summary(spark, sf_dir):
+    k = F.col("c_custkey")
+    focal = F.when(k % 6 == 1, 50.0)
+    line = reports.exif_summary(F.when(k % 3 > 0, 100 * (k % 5 + 1)), F.when(k % 4 > 0, 1.5 + k % 8), F.when(k % 5 == 1, 0.004), focal, F.when(focal.isNotNull(), 75))
+    return read(spark, sf_dir, "customer").select(k.alias("k"), line.alias("line"))
+
+
+@query("""WITH r AS (SELECT c_nationkey::VARCHAR AS path, min(c_custkey) AS lo FROM customer GROUP BY 1),
+z AS (SELECT path, 'run_' || max(c_custkey) AS name, 0 AS x FROM customer JOIN r ON r.path = c_nationkey::VARCHAR GROUP BY path),
+f AS (SELECT c_nationkey::VARCHAR AS path, count(*) AS files, sum(c_custkey)::BIGINT AS bytes FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1),
+a AS (SELECT DISTINCT c_nationkey::VARCHAR AS path FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT r.path, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes, a.path IS NOT NULL AS has_moves FROM r LEFT JOIN f ON f.path = r.path LEFT JOIN a ON a.path = r.path""")
+def run_library(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").withColumn("path", F.col("c_nationkey").cast("string"))
+    runs = rows.select("path", F.concat(F.lit("run_"), F.col("c_custkey").cast("string")).alias("name"), F.col("c_custkey").alias("created_ms"))
+    files = rows.where("c_custkey % 2 = 0").select(F.col("path").alias("run_path"), F.col("c_custkey").alias("size"))
+    moved = rows.select(F.col("path").alias("run_path"), F.when(F.col("c_mktsegment") != "BUILDING", "later").alias("restored_at"))
+    return reports.run_library(runs, files, moved).select("path", "files", "bytes", "has_moves")
+
+
+@query("""WITH RECURSIVE u AS (SELECT user_id AS scan_id, event_id AS idx, event_type AS stage, event_id % 10 AS cur, 10 AS total, (event_id % 97)::BIGINT AS pct, (epoch_us(ts) // 1000) // 50000 AS at_ms,
+row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT scan_id, idx, k, stage, pct, at_ms, true AS shown FROM u WHERE k = 1
+UNION ALL SELECT u.scan_id, u.idx, u.k, CASE WHEN g THEN u.stage ELSE f.stage END, CASE WHEN g THEN u.pct ELSE f.pct END, CASE WHEN g THEN u.at_ms ELSE f.at_ms END, g
+FROM f JOIN u ON u.scan_id = f.scan_id AND u.k = f.k + 1, LATERAL (SELECT f.stage <> u.stage OR u.cur >= u.total OR u.pct >= f.pct + 2 OR u.at_ms - f.at_ms >= 1000 AS g) t)
+SELECT scan_id, idx FROM f WHERE shown""")
+def progress_throttle(spark, sf_dir):
+    i = F.col("event_id")
+    updates = read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("scan_id"), i.alias("idx"), F.col("event_type").alias("stage"), (i % 10).alias("current"), F.lit(10).alias("total"), (i % 97).alias("percent"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 50000).alias("at_ms")
+    )
+    return reports.throttled(updates)
+
+
+@query("SELECT p_partkey, round((p_partkey * 1.6384 + (p_partkey % 7) * 4.194304) / greatest(p_size % 8, 1), 6) AS load, p_type LIKE '%STEEL' AS viewable FROM part")
+def workload(spark, sf_dir):
+    k = F.col("p_partkey")
+    load = reports.workload(k, F.lit(1280), F.lit(2048), k % 7, F.col("p_size") % 8)
+    ext = F.when(F.col("p_type").endswith("STEEL"), "JPG").otherwise("nef")
+    return read(spark, sf_dir, "part").select("p_partkey", r6(load).alias("load"), reports.viewable(ext).alias("viewable"))

@@ -51,7 +51,7 @@ def test_run_folder_round_trip(spark, scanned, tmp_path):
     state["run_created_at"] = "another"
     runs.write_json(f"{folder}/review.json", state)
     assert runs.read_decisions(spark, folder).count() == 0
-    runs.remove_run(folder)
+    transfers.remove_run(folder)
     assert not os.path.exists(folder)
 
 
@@ -84,3 +84,23 @@ def test_scripts_quote_names(spark, tmp_path):
     text = runs.move_script(rejects, str(tmp_path / "move.sh"))
     assert "'/c/it'\"'\"'s.jpg'" in text
     assert "'/c/it''s.jpg'" in runs.move_script(rejects, str(tmp_path / "move.ps1"), "powershell")
+
+
+def test_thumbnails_and_review_export(spark, scanned, tmp_path):
+    from framesift.sources import artifacts, images
+
+    root, _ = scanned
+    rasters = images.load_images(spark, root).withColumn("id", images.F.element_at(images.F.split("path", "/"), -1))
+    made = artifacts.write_thumbnails(rasters, f"file://{tmp_path}", 64).collect()
+    assert len(made) == 3 and all(os.path.getsize(r.file.removeprefix("file://")) > 50 for r in made)
+    back = images.load_images(spark, f"{tmp_path}/thumbs").collect()
+    assert {(r.width, r.height) for r in back} == {(64, 48)}
+    decisions = spark.createDataFrame([("a", "keep", None, 1)], runs.DECISIONS)
+    out = json.loads(artifacts.review_json(decisions, spark.createDataFrame([("b",)], "asset_id string"), root))
+    assert out["decisions"][0]["decision"] == "keep" and out["move_status"]["asset_ids"] == ["b"]
+    (tmp_path / "m").write_bytes(b"model")
+    with pytest.raises(ValueError):
+        artifacts.load_model(str(tmp_path / "m"), "0" * 64)
+    (tmp_path / "x/y/z").mkdir(parents=True)
+    artifacts.remove_empty_folders(str(tmp_path / "x/y/z"), str(tmp_path))
+    assert not (tmp_path / "x").exists()
