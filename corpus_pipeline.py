@@ -43,7 +43,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digest_documents(docs, queries.tokenizer_file("byte_bpe_50k.tiktoken"), queries.split_pattern())
+    # executors come here with full heaps from the joins before
+    return bpe.digest_documents(docs, queries.tokenizer_file("byte_bpe_50k.tiktoken"), queries.split_pattern(), bpe.SMALL)
 
 
 STAGES = [

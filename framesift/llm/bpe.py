@@ -19,6 +19,7 @@ import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,21 @@ from pyspark.sql import functions as F
 
 from framesift.llm.held import held
 
-#: States of an automaton, words and pieces that are remembered (and as many of the time before).
-MAX_STATES, MAX_WORDS, MAX_PIECES = 200_000, 300_000, 100_000
+
+
+class Limits(NamedTuple):
+    """States of an automaton, words and pieces that are remembered (and as many of the time before).
+
+    What is forgotten is worked out again: less memory takes more time and changes nothing else. The large ones take
+    about 360 MB of a worker, the small ones 140.
+    """
+
+    states: int = 200_000
+    words: int = 300_000
+    pieces: int = 100_000
+
+
+LARGE, SMALL = Limits(), Limits(50_000, 50_000, 25_000)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,7 +55,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Merges:
     """The vocabulary: its trie, and which tokens may follow which."""
 
-    def __init__(self, ranks: dict[bytes, int], pair_rank=None):
+    def __init__(self, ranks: dict[bytes, int], pair_rank=None, limit: int = LARGE.states):
+        self.limit = limit
         self.ranks, self.pair_rank = ranks, pair_rank or (lambda a, b: ranks.get(a + b))
         self.token = {v: k for k, v in ranks.items()}
         self.edges: list[dict[int, int]] = [{}]
@@ -104,7 +119,7 @@ class Merges:
         known = self.known.get(key)
         if known is not None:
             return known
-        if len(self.known) > 4 * MAX_STATES:
+        if len(self.known) > 4 * self.limit:
             self.known.clear()
         for which, right in ((before, True), (token, False)):
             if which >= 0 and (which, right) not in self.spines:
@@ -142,13 +157,15 @@ class Transducer:
     nothing: tuple | int = ()
 
     def __init__(self, merges: Merges, whole: bool = True):
-        self.merges, self.whole = merges, whole
+        self.merges, self.whole, self.states = merges, whole, {}
         self.clear()
 
     def clear(self) -> None:
+        for state in self.states.values():
+            state.clear()  # states know each other: untied, they are freed at once
         start = ((-1, 0, self.nothing),)
         self.start = State(self, start)
-        self.states: dict[tuple, State] = {start: self.start}
+        self.states = {start: self.start}
 
     def add(self, late, token: int):
         return (*late, token)
@@ -200,7 +217,7 @@ class Transducer:
         """All output for a piece; at its end that of the one member that is between tokens."""
         if self.whole and (token := self.merges.ranks.get(piece)) is not None:
             return self.add(self.nothing, token)
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.merges.limit:
             self.clear()
         state, out = self.start, self.nothing
         for byte in piece:
@@ -228,7 +245,7 @@ class CountTransducer(Transducer):
 class Recent(dict):
     """Results by text, worked out when first needed. When there are too many, those not used since the last time go."""
 
-    def __init__(self, convert, limit: int = MAX_PIECES):
+    def __init__(self, convert, limit: int = LARGE.pieces):
         super().__init__()
         self.convert, self.limit, self.older = convert, limit, {}
 
@@ -253,9 +270,9 @@ class TextEncoder:
     is what a comma or full stop after one leaves; other words go to ``convert``, which splits by the pattern.
     """
 
-    def __init__(self, convert, piece):
+    def __init__(self, convert, piece, limits: Limits = LARGE):
         self.convert, self.piece = convert, piece
-        self.first, self.rest = Recent(convert), Recent(self.word, MAX_WORDS)
+        self.first, self.rest = Recent(convert, limits.pieces), Recent(self.word, limits.words)
         self.ends = {c: piece(c) for c in ",."}
 
     def word(self, word: str):
@@ -279,11 +296,11 @@ class TextEncoder:
 class BpeEncoder:
     """Whole texts to ids, each match of ``pattern`` separately, without special tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limits: Limits = LARGE):
         self.split = regex.compile(pattern).findall
-        self.transducer = Transducer(Merges(ranks))
-        self.pieces = Recent(self.piece)
-        self.words = TextEncoder(self.convert, self.piece)
+        self.transducer = Transducer(Merges(ranks, limit=limits.states))
+        self.pieces = Recent(self.piece, limits.pieces)
+        self.words = TextEncoder(self.convert, self.piece, limits)
 
     def piece(self, text: str) -> bytes:
         return array("I", self.transducer.encode(text.encode("utf-8", "surrogatepass"))).tobytes()
@@ -365,20 +382,21 @@ def no_collection():
         gc.enable()
 
 
-def codec(path: str, pattern: str) -> tuple[BpeEncoder, BpeDecoder]:
+def codec(path: str, pattern: str, limits: Limits = LARGE) -> tuple[BpeEncoder, BpeDecoder]:
     """Encoder and decoder of a rank file, kept in the worker."""
 
     def build():
         ranks = read_ranks(path)
-        return BpeEncoder(ranks, pattern), BpeDecoder(ranks)
+        return BpeEncoder(ranks, pattern, limits), BpeDecoder(ranks)
 
-    return held(("bpe", path, pattern), build)
+    return held(("bpe", path, pattern, limits), build)
 
 
-BLOCK = 1 << 16
+#: Bytes of ids decoded at a time, and rows encoded before they are passed on.
+BLOCK, ROWS = 1 << 18, 500
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limits: Limits = LARGE) -> DataFrame:
     """Each row's ``keep`` columns, with ids (binary, little-endian u32), n_tokens and decoded (the text read back).
 
     Rows come one for one, repeated ones too; null and empty texts have no tokens. The work is a map over rows without
@@ -387,21 +405,22 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     source = docs.select(*keep, F.col(text).alias("__text"))
 
     def run(batches):
-        encoder, decoder = codec(path, pattern)
-        for batch in batches:
-            with no_collection():
-                ids = [encoder.encode(t) for t in batch.column(len(keep)).to_pylist()]
-            decoded = ["".join(decoder.stream(x[i : i + 4 * BLOCK] for i in range(0, len(x), 4 * BLOCK))) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(decoded, pa.string())],
-                [*keep, "ids", "n_tokens", "decoded"],
-            )
+        encoder, decoder = codec(path, pattern, limits)
+        for whole in batches:
+            for batch in (whole.slice(i, ROWS) for i in range(0, len(whole), ROWS)):
+                with no_collection():
+                    ids = [encoder.encode(t) for t in batch.column(len(keep)).to_pylist()]
+                decoded = ["".join(decoder.stream(x[i : i + BLOCK] for i in range(0, len(x), BLOCK))) for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[: len(keep)], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(decoded, pa.string())],
+                    [*keep, "ids", "n_tokens", "decoded"],
+                )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{fields}, ids binary, n_tokens bigint, decoded string")
 
 
-def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digest_documents(docs: DataFrame, path: str, pattern: str, limits: Limits = LARGE) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the decoded bytes."""
-    out = encode_documents(docs, path, pattern)
+    out = encode_documents(docs, path, pattern, limits=limits)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

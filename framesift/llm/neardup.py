@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from framesift.llm import golay, simhash
 from framesift.llm.components import components
+from framesift.llm.held import release
 from framesift.plans.staging import stage
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
@@ -95,6 +96,7 @@ def link_classes(classes: DataFrame, prints: list[str], radius: int, total: int
     fields = ", ".join(f"{p} bigint" for p in prints)
 
     def spread(batches):
+        release()
         for batch in batches:
             for part in (batch.slice(i, 2_000) for i in range(0, len(batch), 2_000)):
                 for table, name in enumerate(prints):
@@ -103,6 +105,7 @@ def link_classes(classes: DataFrame, prints: list[str], radius: int, total: int
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[taken.column(c) for c in ("node", *prints)]], ["key", "node", *prints])
 
     def linked(batches, limit):
+        release()
         names = ["key", "node", *prints]
         over, count, held, size = None, 0, [], 0
 
@@ -173,6 +176,7 @@ def print_documents(docs: DataFrame, width: int, seeds: tuple[int, ...]) -> Data
     """doc_id, fp0, fp1, ... (one for each seed, bigint) and node (one number for all of them), written once."""
 
     def run(batches):
+        release()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             prints = [np.fromiter((simhash.fingerprint(t, width, seed) for t in texts), np.uint64, len(texts)) for seed in seeds]

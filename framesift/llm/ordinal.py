@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.bpe import Recent, no_collection
+from framesift.llm.held import held
 
 #: Hash buckets; rated documents used at most; steps, their size, and the penalty.
 BUCKETS, SAMPLE, STEPS, RATE, PENALTY = 1 << 18, 8_000, 800, 0.05, 2e-5
@@ -165,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")
 
     def run(batches):
-        features = Features()
+        features = held("features", Features)
         for batch in batches:
             found = [features.of(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32()))], ["grade", "at", "value"])
@@ -176,9 +177,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([rows[i] for i in order], got["grade"].to_numpy()[order].astype(int) if rows else np.zeros(0, int))
 
 
-_SCORERS: dict[bytes, Features] = {}
-
-
 def score_rows(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The ``keep`` columns with expected_grade and tail (P of the wanted grade) of each row's whole text.
 
@@ -190,11 +188,8 @@ def score_rows(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches):
         weights, thresholds = sent.value
-        mark_of = xxhash.xxh64_digest(weights.tobytes())
-        if mark_of not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[mark_of] = Features(weights)
-        features, fitted = _SCORERS[mark_of], Model(weights, thresholds)
+        features = held(("ordinal", xxhash.xxh64_digest(weights.tobytes())), lambda: Features(weights))
+        fitted = Model(weights, thresholds)
         for batch in batches:
             with no_collection():
                 scores = np.array([features.score(t) for t in batch.column(len(keep)).to_pylist()], float)

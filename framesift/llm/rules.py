@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framesift.llm.held import release
 from framesift.plans.staging import stage
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -65,6 +66,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     source = docs.select(*keep, F.col("text").alias("__text"))
 
     def run(batches):
+        release()
         for batch in batches:
             rows = [text_stats(t) for t in batch.column(len(keep)).to_pylist()]
             found = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(STATS)

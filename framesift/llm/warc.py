@@ -23,6 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framesift.llm.held import release
 from framesift.plans.staging import shared_path, stage
 
 #: Fixed values of the seekable format: the skippable frame that holds the table, and the number that ends a file.
@@ -167,6 +168,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     rows = sent.join(marked.hint("merge"), same, "left").select("page_id", "url", "html", sent["digest"], "first", F.col("later_digest").isNotNull().alias("revisit"))
 
     def write(batches):
+        release()
         writer, done = None, []
 
         def finished():

@@ -60,11 +60,8 @@ def test_toy_merges_equal_plain_bpe():
             assert list(machine.encode(piece)) == want and counts.encode(piece) == len(want)
 
 
-def test_states_can_be_dropped(monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_STATES", 5)
-    ranks = bpe.read_ranks(RANKS)
-    small = bpe.BpeEncoder(ranks, split_pattern())
-    small.pieces.limit = small.words.rest.limit = 3
+def test_states_can_be_dropped():
+    small = bpe.BpeEncoder(bpe.read_ranks(RANKS), split_pattern(), bpe.Limits(5, 3, 3))
     large = bpe.codec(RANKS, split_pattern())[0]
     text = " ".join(fuzz(50, 9))
     assert small.encode(text) == large.encode(text)
