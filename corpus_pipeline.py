@@ -5,7 +5,7 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 1. quality classifier: documents whose chance of the best grade is under a half go (rated from the table labels);
 2. quality rules: documents that fail the base rules, or that the label model holds bad, go;
-3. SimHash near-dedup: of each group of near copies the one with the smallest doc_id stays;
+3. SimHash near-dedup, verified on five-word shingles: of each group of near copies the one with the smallest doc_id stays;
 4. mixing: the sources to target weights, so documents come up to twice or not at all;
 5. byte-level BPE: token ids of every copy, and their decoding back.
 
@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from framesift.llm import bpe, mix, neardup, ordinal, queries, rules
 from framesift.plans.staging import shared_path
 
-#: Near copies here have five-word shingles with similarity 0.8 or more. That is an edit of one word in 45, and costs a
-#: fingerprint of word pairs 6 of 64 bits. Three such fingerprints are taken: copies differ in at most RADIUS bits in
-#: one and in at most TOTAL over all three.
+#: Near copies here have five-word shingles with similarity 0.8 or more, which is verified on the shingles themselves
+#: (``framesift.llm.shingles``). What is compared is proposed by three fingerprints of word pairs, of which an edit
+#: changes fewer bits: at most RADIUS in one and at most TOTAL over all three.
 WIDTH, SEEDS, RADIUS, TOTAL = 2, (42, 43, 44), 5, 25
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm import golay, simhash
+from framesift.llm import golay, shingles, simhash
 from framesift.llm.components import components
 from framesift.llm.held import release
 from framesift.plans.staging import stage
@@ -206,14 +206,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, seeds: tuple[int, ...] = (4
 
 
 def drop_near_duplicates(docs: DataFrame, width: int, seeds: tuple[int, ...], radius: int, total: int) -> DataFrame:
-    """One document of each group, that of the smallest doc_id, with all columns of ``docs``; of repeated rows one.
+    """One document of each group of near copies, that of the smallest doc_id, with all columns of ``docs``; of repeated rows one.
 
-    Documents without a doc_id can't be named as kept or dropped, and stay.
+    Near copies are those of ``shingles``: exact Jaccard of five-word shingles. Linked fingerprints (``width``, ``seeds``,
+    ``radius``, ``total``: see ``link_classes``) only say which sets are compared. Documents without a
+    doc_id can't be named as kept or dropped, and stay.
     """
-    found = near_duplicates(docs, width, seeds, radius, total)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    prints = [f"fp{i}" for i in range(len(seeds))]
+    rows = shingles.describe(docs, width, seeds)
+    named = F.struct(F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("id"), "mark")
+    firsts = [F.first(c).alias(c) for c in (*prints, "size")]
+    classes = stage(rows.groupBy("node").agg(*firsts, F.min(named).alias("seat"), F.min("doc_id").alias("least")), "classes")
+    found = link_classes(classes, prints, radius, total)
+    labels = stage(components(shingles.verified_links(docs, classes, found)), "labels")
+    members = labels.join(classes.select("node", "least"), "node")
+    groups = members.groupBy("root").agg(F.min("least").alias("least"))
+    kept = classes.join(labels, "node", "left_anti").select("least").unionByName(groups.select("least")).select(F.col("least").alias("doc_id")).distinct()
+    stay = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stay.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
