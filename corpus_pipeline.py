@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from framesift.llm import bpe, mix, neardup, ordinal, queries, rules
 from framesift.plans.staging import shared_path
 
-#: Near copies here have five-word shingles with similarity 0.8 or more, which is verified on the shingles themselves
-#: (``framesift.llm.shingles``). What is compared is proposed by three fingerprints of word pairs, of which an edit
-#: changes fewer bits: at most RADIUS in one and at most TOTAL over all three.
+#: Near copies here have five-word shingles with similarity 0.8 or more, which is verified on the shingles themselves.
+#: What is compared is proposed by three fingerprints of word pairs, of which an edit changes fewer bits (at most RADIUS
+#: in one and at most TOTAL over all three), and by bands of min-hashes for what lies beyond (``framesift.llm.shingles``).
 WIDTH, SEEDS, RADIUS, TOTAL = 2, (42, 43, 44), 5, 25
 
 

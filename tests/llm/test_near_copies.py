@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from framesift.llm import shingles
+from framesift.llm import shingles, simhash
 from tests.llm.helpers import Union, bits, frame, lowered, odd_documents, words_of
 
 
@@ -24,6 +24,12 @@ def words(r, n):
     return [f"w{r.randrange(5000)}" for _ in range(n)]
 
 
+def appended(r, base, similarity):
+    """With a block at the end, so that the similarity is just at or over this."""
+    n = len(base) - 4
+    return base + words(r, int(n / similarity) - n)
+
+
 def edited(r, base, count):
     """With so many single words changed, evenly apart."""
     out = base.copy()
@@ -67,9 +73,20 @@ def test_different_documents_stay(spark):
     assert dropped_to(spark, rows) == list(range(60))
 
 
+def test_copies_with_a_block_go(spark):
+    r = random.Random(2)
+    rows = []
+    for i in range(30):
+        base = words(r, 300)
+        other = appended(r, base, [0.8, 0.82, 0.85, 0.9][i % 4])
+        assert 0.8 <= jaccard(plain_set(" ".join(base)), plain_set(" ".join(other))) < 0.91
+        rows += [row(2 * i, base), row(2 * i + 1, other)]
+    assert dropped_to(spark, rows) == list(range(0, 60, 2))
+
+
 @pytest.mark.parametrize("block", [3, shingles.BLOCK])
 def test_kept_rows_match_brute_force(spark, block, monkeypatch):
-    """Odd documents and a group of copies of one text, in one block or dealt out over many."""
+    """Odd documents, chains, and a group of copies of one text, in one block or dealt out over many."""
     monkeypatch.setattr(shingles, "BLOCK", block)
     monkeypatch.setattr(shingles, "SENT", 0 if block == 3 else shingles.SENT)
     r = random.Random(3)
@@ -77,7 +94,7 @@ def test_kept_rows_match_brute_force(spark, block, monkeypatch):
     for g in range(4):
         base = words(r, 200)
         for i in range(12):
-            rows.append(row(1000 + 100 * g + i, edited(r, base, r.randrange(1, 3))))
+            rows.append(row(1000 + 100 * g + i, edited(r, base, r.randrange(1, 7)) if i % 3 else appended(r, base, r.choice([0.75, 0.8, 0.9]))))
     assert dropped_to(spark, rows) == plain_kept(rows)
 
 
@@ -86,3 +103,32 @@ def test_links_are_exact_at_the_border():
     a, b = shingles.near_links(np.array([1, 2, 3, 4]), np.zeros(4, int), sets)
     assert list(zip(a.tolist(), b.tolist())) == [(1, 2)]
     assert len(shingles.near_links(np.array([1, 2]), np.zeros(2, int), [np.zeros(0, np.uint64), sets[0]])[0]) == 0
+
+
+def searches(a, b):
+    """Whether SimHash and whether the bands propose this pair."""
+    prints = [[simhash.fingerprint(t, corpus_pipeline.WIDTH, s) for s in corpus_pipeline.SEEDS] for t in (a, b)]
+    apart = [bits(x, y) for x, y in zip(*prints)]
+    return min(apart) <= corpus_pipeline.RADIUS and sum(apart) <= corpus_pipeline.TOTAL, bool((shingles.band_keys(shingles.shingle_set(a)) == shingles.band_keys(shingles.shingle_set(b))).any())
+
+
+def measured(n_words=600, trials=400, seed=4):
+    """Share of pairs found by SimHash, by bands and by either: for each kind of edit and similarity."""
+    r, out = random.Random(seed), {}
+    for kind in ("block", "scattered"):
+        for j in (0.95, 0.9, 0.85, 0.8):
+            found = []
+            for _ in range(trials):
+                base = [f"w{x}" for x in r.sample(range(100_000), n_words)]
+                other = appended(r, base, j) if kind == "block" else edited(r, base, int((n_words - 4) * (1 - j) / (1 + j) / 5))
+                assert jaccard(plain_set(" ".join(base)), plain_set(" ".join(other))) >= j
+                found.append(searches(" ".join(base), " ".join(other)))
+            s, b = np.array(found).T
+            out[kind, j] = s.mean(), b.mean(), (s | b).mean()
+    return out
+
+
+def test_recall_by_similarity():
+    """``measured()`` gives the README's figures; fewer trials here."""
+    for (kind, j), (_, _, either) in measured(n_words=300, trials=40).items():
+        assert either == 1, (kind, j)
