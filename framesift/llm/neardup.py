@@ -209,20 +209,22 @@ def drop_near_duplicates(docs: DataFrame, width: int, seeds: tuple[int, ...], ra
     """One document of each group of near copies, that of the smallest doc_id, with all columns of ``docs``; of repeated rows one.
 
     Near copies are those of ``shingles``: exact Jaccard of five-word shingles. Linked fingerprints (``width``, ``seeds``,
-    ``radius``, ``total``: see ``link_classes``) and equal bands only say which sets are compared. Documents without a
-    doc_id can't be named as kept or dropped, and stay.
+    ``radius``, ``total``: see ``link_classes``) and equal bands only say which sets are compared. A row is told by doc_id and a hash
+    of its text, so different texts under one doc_id are different documents. Documents without a doc_id can't be named as
+    kept or dropped, and stay.
     """
     prints = [f"fp{i}" for i in range(len(seeds))]
     rows = shingles.describe(docs, width, seeds)
     named = F.struct(F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("id"), "mark")
     firsts = [F.first(c).alias(c) for c in (*prints, "size", "bands")]
-    classes = stage(rows.groupBy("node").agg(*firsts, F.min(named).alias("seat"), F.min("doc_id").alias("least")), "classes")
+    classes = stage(rows.groupBy("node").agg(*firsts, F.min(named).alias("seat"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("least")), "classes")
     found = link_classes(classes, prints, radius, total).unionByName(shingles.band_links(classes))
     labels = stage(components(shingles.verified_links(docs, classes, found)), "labels")
     members = labels.join(classes.select("node", "least"), "node")
     groups = members.groupBy("root").agg(F.min("least").alias("least"))
-    kept = classes.join(labels, "node", "left_anti").select("least").unionByName(groups.select("least")).select(F.col("least").alias("doc_id")).distinct()
-    stay = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = classes.join(labels, "node", "left_anti").select("least").unionByName(groups.select("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.mark").alias("__mark"))
+    texts = docs.where("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id")).withColumn("__mark", F.xxhash64("text"))
+    stay = texts.join(kept, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
     return stay.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 

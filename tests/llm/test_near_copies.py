@@ -98,6 +98,16 @@ def test_kept_rows_match_brute_force(spark, block, monkeypatch):
     assert dropped_to(spark, rows) == plain_kept(rows)
 
 
+def test_different_texts_under_one_id_stay(spark):
+    r = random.Random(6)
+    texts = [words(r, 100) for _ in range(4)]
+    rows = [row(1, texts[0]), row(1, texts[1]), row(1, texts[1]), row(1, edited(r, texts[0], 1)), row(2, texts[1]), row(2, texts[2]), row(3, texts[2]), row(0, texts[3]), row(1, texts[3])]
+    got = sorted((x.doc_id, x.text) for x in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect())
+    assert [i for i, _ in got] == [0, 1, 1, 2]
+    assert {t for i, t in got if i != 1} == {rows[7][1], rows[5][1]}
+    assert {t for i, t in got if i == 1} - {rows[0][1], rows[3][1]} == {rows[1][1]}  # and one of the two near copies
+
+
 def test_links_are_exact_at_the_border():
     sets = [np.arange(80, dtype=np.uint64), np.arange(100, dtype=np.uint64), np.arange(101, dtype=np.uint64) + np.uint64(1000), np.arange(80, dtype=np.uint64) + np.uint64(1000)]
     a, b = shingles.near_links(np.array([1, 2, 3, 4]), np.zeros(4, int), sets)
