@@ -1,0 +1,25 @@
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from framesift.llm import search
+from tests.llm.helpers import frame, odd_documents, prose
+from tests.llm.test_search import plain
+
+
+@pytest.mark.parametrize("shard", [7, search.SHARD_DOCS])
+def test_every_query_row_has_its_own_results(spark, shard, monkeypatch):
+    """Repeated rows, and other texts under the same id, each get all of their best."""
+    monkeypatch.setattr(search, "SHARD_DOCS", shard)
+    r = random.Random(5)
+    more = [(300 + i, prose(r, 40) + f" rare{i % 9}", "en", "a", 0, 0, "", 0.0, "") for i in range(30)]
+    rows = odd_documents() + more + [more[0], more[0], more[3], (304, *more[5][1:]), (304, prose(r, 20) + " rare4", *more[4][2:])]
+    asks = lambda i: i % 4 == 0 or i == 3
+    got = search.search(frame(spark, rows), (F.col("doc_id") % 4 == 0) | (F.col("doc_id") == 3), k=5).collect()
+    best = plain(rows, asks, 5)
+    assert Counter((x.query_id, x["rank"]) for x in got) == Counter((q, i + 1) for q, found in best for i in range(len(found)))
+    for q in {q for q, _ in best}:
+        mine = sorted(x.score for x in got if x.query_id == q)
+        assert mine == pytest.approx(sorted(-s for p, found in best if p == q for s, *_ in found), abs=2e-4)
