@@ -10,7 +10,8 @@ Parquet and read again as the next one's docs. All but the last return the colum
 5. byte-level BPE: token ids of every copy, and their decoding back.
 
 An empty table passes through all stages as an empty table. SQL can express neither the fitted models nor the
-fingerprints, so there is no oracle; ``tests/llm/test_pipeline.py`` holds each stage against plain Python.
+fingerprints, so there is no oracle. ``tests/llm/test_near_copies.py`` holds the near-dedup against brute force; of the other stages
+``tests/llm/test_pipeline.py`` checks columns and ids, not the rows kept.
 """
 
 from __future__ import annotations
