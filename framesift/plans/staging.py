@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; a folder of our own only where the session names none, as in tests."""
+    """The shared folder. Where the session names none, a folder of our own, but only if driver and executors are one
+    machine: on a cluster executors would write where nobody else can read, so that is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.framesift.staging", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
         root = "file://" + tempfile.mkdtemp(prefix="framesift-")
         spark.conf.set("spark.framesift.staging", root)
     return root.rstrip("/")
