@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are shuffled by a hash of their id and queue up; a second pass over the source queues behind the
+Each source's documents are shuffled by a hash of their id and text and queue up; a second pass over the source queues behind the
 first. A copy's virtual finish time is the source's words up to and including it, divided by the source's target, so at
 any virtual time all sources have given the same share of their targets, and at time 1 all of it. Copies of all sources
 are put in order of finish and taken until the budget is used up.
@@ -21,8 +21,14 @@ from framesift.plans.staging import stage
 WEIGHTS = (3, 1, 2)
 BUCKETS, SLICES = 4_096, 4_096
 WORD = r"[^\x20\x09-\x0D]+"
-ORDER = ("__hash", "__size", "__tie")
-NEW, OWN = ("size", "source_size", "target", "first_finish", "copies"), (*ORDER, "__bucket", "__key", "__before", "__end")
+ORDER = ("__hash", "__size")
+NEW, OWN = ("size", "source_size", "target", "first_finish", "copies"), (*ORDER, "__bucket", "__key", "__before", "__end", "__copy", "__at")
+
+
+def own_name(column: str) -> bool:
+    """Whether a column has a name that this module gives columns of its own."""
+    name = column.lower()
+    return name in (*NEW, *OWN) or name.startswith("__f") and name[3:].isdigit()
 
 
 def word_count(text: str = "text") -> Column:
@@ -51,19 +57,22 @@ def fill_targets(sources: DataFrame, weights: tuple[int, ...], share: float, rep
     return levelled.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("open")), F.col("cap")).alias("target"))
 
 
-def queue(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeat: int = 2, seed: str = "mix") -> DataFrame:
+def queue(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeat: int = 2, seed: str = "mix", text: Column | None = None) -> DataFrame:
     """All columns of ``docs`` (doc_id, source, text or whatever ``size`` needs), with size, source_size, target, first_finish
     (virtual finish time of the first copy, null where the source has no words) and copies (how often the mix takes it).
 
     Input columns of these names, and of those in ``OWN``, are replaced. A null source is a source of its own,
     after all others; documents without words are taken with the queue around them and add nothing; in a source without
-    any words the copies are 0. Ties in the shuffle hash (equal ids) go by size, then text; identical rows queue up one
-    after another. The result depends on the rows only, not on their order or partitions. An empty table gives no rows.
+    any words the copies are 0. The shuffle hash is one of doc_id and text (``text`` is a hash of it where the text itself
+    isn't a column), so rows that share an id, or have none, are spread like others; ties go by size, and identical rows
+    queue up one after another. The result depends on the rows only, not on their order or partitions. An empty table
+    gives no rows.
     """
-    columns = [c for c in docs.columns if c.lower() not in (*NEW, *OWN)]
-    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("bigint")
+    columns = [c for c in docs.columns if not own_name(c)]
+    own = F.md5(F.coalesce("text", F.lit("")).cast("binary")) if text is None else text
+    identity = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), own)
     hashed = (
-        docs.withColumns({"__size": size, "__tie": tie, "__hash": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))})
+        docs.withColumns({"__size": size, "__hash": F.md5(identity.cast("binary"))})
         .withColumns({"__bucket": F.conv(F.substring("__hash", 1, 3), 16, 10).cast("int") % BUCKETS, "__key": F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))})
         .select(*columns, *ORDER, "__bucket", "__key")
     )
@@ -104,9 +113,9 @@ def find_cut(line: DataFrame, budget: float) -> dict | None:
     """The first copy in global order (POSITION) that no longer fits the budget; None if all fit.
 
     Sums over slices of finish time show in which slice the budget ends, a second time within it; only what is left
-    then is sorted.
+    then is sorted. Copies without words never end the budget, so any number of them may finish together.
     """
-    low, width, spent, rest = 0.0, 1.0 / SLICES, 0, line
+    low, width, spent, rest = 0.0, 1.0 / SLICES, 0, line.where("__size > 0")
     for _ in range(2):
         at = F.floor((F.col("finish") - F.lit(low)) / F.lit(width)).cast("long")
         slices = rest.groupBy(at.alias("at")).agg(F.sum("__size").alias("words"))
@@ -139,7 +148,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
 
     Columns of ``docs`` that have a name of ``queue``'s own come through unchanged.
     """
-    kept = {c: f"__kept_{c}" if c.lower() in (*NEW, *OWN) else c for c in docs.columns}
+    kept = {c: f"__kept_{c}" if own_name(c) else c for c in docs.columns}
     taken = queue(docs.withColumnsRenamed(kept), word_count(), weights, share, repeat).where("copies > 0")
     copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("__copy")
     rows = taken.select("*", copy).withColumn("__at", F.col("first_finish") + F.col("__copy") * F.col("source_size") / F.col("target"))
@@ -149,6 +158,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
 
 def mix_table(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) for every document."""
-    sized = stage(docs.select("doc_id", "source", word_count().alias("__words"), F.xxhash64("text").alias("text")), "sizes")
-    rows = queue(sized, F.col("__words"))
+    mark = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    sized = stage(docs.select("doc_id", "source", word_count().alias("words"), mark.alias("mark")), "sizes")
+    rows = queue(sized, F.col("words"), text=F.col("mark"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

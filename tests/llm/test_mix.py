@@ -73,3 +73,19 @@ def test_mix_itself(spark):
     assert mix.mix_documents(frame(spark, [])).count() == 0 and mix.mix_table(frame(spark, [])).count() == 0
     empty = [(1, None, None, None, 0, 0, "", 0.0, "")]
     assert [tuple(r) for r in mix.mix_table(frame(spark, empty)).collect()] == [(1, 0, 0, 0.0, 0)]
+
+
+def test_rows_of_one_id_are_spread_and_own_names_come_through(spark):
+    """Many rows of one id and of none fall into many buckets, and columns named like the module's own are kept."""
+    rows = [(7 if i % 2 else None, f"w{i} " * (1 + i % 5), "en", "a" if i % 3 else "b", 0, 0, "", 0.0, "") for i in range(400)]
+    docs = frame(spark, rows).withColumns({"__f0": F.lit("mine"), "__copy": F.lit(3), "__at": F.lit(0.25), "__key": F.lit("k")})
+    check(rows, mix.mix_table(docs).collect())
+    hashes = mix.queue(docs.withColumn("__bucket", F.lit(1)), mix.word_count())
+    assert hashes.columns[-5:] == list(mix.NEW)
+    mixed = mix.mix_documents(docs)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.select("__f0", "__copy", "__at", "__key").collect()} == {("mine", 3, 0.25, "k")}
+
+
+def test_many_rows_without_words_finish_together(spark):
+    rows = [(i, "", "en", "a", 0, 0, "", 0.0, "") for i in range(500)] + [(1000 + i, "w " * 5, "en", "a", 0, 0, "", 0.0, "") for i in range(20)]
+    check(rows, mix.mix_table(frame(spark, rows)).collect())
