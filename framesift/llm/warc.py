@@ -96,7 +96,8 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, bytes, int]:
 class BundleWriter:
     """Writes one bundle; ``add`` returns a record's frame and its offset in the frame."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, frame_bytes: int | None = None):
+        self.frame_bytes = frame_bytes or FRAME_BYTES
         system, self.path = fs.FileSystem.from_uri(path)
         self.out = system.open_output_stream(self.path, compression=None)  # else the name would compress it again
         self.packer = zstandard.ZstdCompressor(level=LEVEL)
@@ -105,7 +106,7 @@ class BundleWriter:
         self.written = 0
 
     def add(self, data: bytes) -> tuple[int, int]:
-        if self.size and self.size + len(data) > FRAME_BYTES:
+        if self.size and self.size + len(data) > self.frame_bytes:
             self.close_frame()
         place = len(self.frames), self.size
         self.open.append(data)
@@ -181,7 +182,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 if writer is None:
                     writer_path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
                     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
-                    writer, done = BundleWriter(writer_path), []
+                    writer, done = BundleWriter(writer_path, FRAME_BYTES), []
                 done.append((i, *writer.add(record(i, url, html.encode("utf-8", "surrogatepass"), digest, first, revisit))))
                 if writer.written >= BUNDLE_BYTES:
                     yield finished()
@@ -197,8 +198,11 @@ PAGES_BACK = "page_id bigint, payload_bytes bigint, payload_digest string, recor
 
 def read_archives(index: DataFrame) -> DataFrame:
     """Every record of the bundles that an index names, read frame by frame: page_id, payload_bytes, payload_digest,
-    record_type and refers_to. A response's payload is measured and hashed; a revisit says both of the payload it had."""
-    bundles = index.select("bundle").distinct()
+    record_type and refers_to. A response's payload is measured and hashed; a revisit says both of the payload it had.
+
+    Names are few bytes however much they stand for, so the tasks are counted: one a bundle."""
+    bundles = stage(index.select("bundle").distinct(), "bundles")
+    tasks = max(1, bundles.count())
 
     def run(batches):
         for batch in batches:
@@ -216,7 +220,7 @@ def read_archives(index: DataFrame) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return bundles.repartition(F.col("bundle")).mapInArrow(run, PAGES_BACK)
+    return bundles.repartition(tasks, "bundle").mapInArrow(run, PAGES_BACK)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

@@ -53,3 +53,15 @@ def test_bundles_are_plain_zstandard_too(tmp_path):
     with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
         assert reader.read() == b"".join(records)
     assert b"".join(warc.read_frames(f"file://{tmp_path}/b.warc.zst")) == b"".join(records)
+
+
+def test_bundles_roll_over_and_are_read_back_a_task_each(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 2_000)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 3_000)
+    noise = ["".join(hashlib.sha512(f"{i} {k}".encode()).hexdigest() for k in range(4)) for i in range(120)]
+    rows = [(i, "u", t, "d", "f") for i, t in enumerate(noise)] + [(500, "u", "".join(noise), "d", "f")]  # one record larger than a frame
+    index = warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(2), shared_path(spark, "warc-test"))
+    back = warc.read_archives(index)
+    bundles = index.select("bundle").distinct().count()
+    assert bundles > 4 and back.rdd.getNumPartitions() == bundles
+    assert sorted(repr(tuple(r)) for r in back.collect()) == plain(rows)
