@@ -20,7 +20,9 @@ from framesift.llm.held import release
 from framesift.plans.staging import stage
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_distinct", "n_marked")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_distinct", "n_lettered", "letter_bytes", "word_bytes")
+#: ASCII bytes that are no letters and no white space; bytes from 0x80 on belong to letters of other alphabets.
+OTHER = bytes(b for b in range(0x80) if not chr(b).isalpha() and b not in SPACES)
 BAD, ABSTAIN, GOOD = 0, 1, 2
 PRIOR_GOOD, PSEUDO, ROUNDS = 0.8, 2.0, 200
 
@@ -57,8 +59,9 @@ def text_stats(text: str | None) -> tuple[int, ...]:
     symbols = sum(map(raw.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")))
     lines = Counter(line for line in raw.split(b"\n") if line.strip(SPACES))
     upper = sum(map(bytes.isupper, words))
-    marked = sum(map(words.count, (b"|",))) if b"|" in raw else 0
-    return (len(words), chars, symbols, sum(lines.values()) - len(lines), repeated_words(words), upper, len(set(words)), marked)
+    lettered = raw.translate(None, OTHER).split()
+    sizes = sum(map(len, lettered)), sum(map(len, words))
+    return (len(words), chars, symbols, sum(lines.values()) - len(lines), repeated_words(words), upper, len(set(words)), len(lettered), *sizes)
 
 
 def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -85,7 +88,8 @@ def vote(bad: Column, good: Column) -> Column:
 
 
 def votes() -> list[Column]:
-    """The rules. Each looks at one trait and abstains in between or where there is too little text to say."""
+    """The rules. Each looks at a trait of its own, since the model takes them as independent given the class, and
+    abstains in between or where there is too little text to say."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     some = F.col("n_words") >= 20
     per_word = F.col("n_symbols") / n
@@ -97,8 +101,8 @@ def votes() -> list[Column]:
         vote(F.col("n_words") < 10, F.col("n_words") >= 50),
         vote((F.col("word_chars") / n < 2.5) | (F.col("word_chars") / n > 12), (F.col("word_chars") / n >= 3.5) & (F.col("word_chars") / n <= 9)),
         vote(F.col("n_dup_lines") >= 5, F.col("n_dup_lines") == 0),
-        vote(some & (F.col("n_marked") / n > 0.1), some & (F.col("n_marked") == 0)),
-        vote(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)) > 0.15, some & (F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)) < 0.02)),
+        vote(some & (F.col("n_lettered") / n < 0.8), some & (F.col("n_lettered") / n > 0.95)),
+        vote(some & (F.col("letter_bytes") < 0.7 * F.col("word_bytes")), some & (F.col("letter_bytes") > 0.9 * F.col("word_bytes"))),
     ]
 
 
