@@ -161,9 +161,14 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rated documents. What comes to the driver is their features, so bounded by the sample."""
+    """Fit on at most ``sample`` rated documents. What comes to the driver is their features, so bounded by the sample.
+
+    Of several rows with one rated id the text with the smallest hash is taken, chosen before the shuffle as well, so
+    an id that fills much of the table costs one row a task.
+    """
     chosen = ratings(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rated = named.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text")).alias("first")).select("grade", "first.text")
 
     def run(batches):
         features = held("features", Features)

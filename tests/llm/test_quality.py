@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -60,6 +61,72 @@ def test_fit_is_that_of_single_documents():
     assert rules.fit(np.zeros(0, int), np.zeros(0), 3).shape == (27,)
 
 
+def plain_votes(text):
+    """The votes of the rules on one text, from words and letters: -1 bad, 1 good, 0 neither."""
+    words, (n_words, chars, symbols, dup_lines, repeats) = words_of(text), plain_stats(text)
+    n, some = max(n_words, 1), n_words >= 20
+    pick = lambda bad, good: -1 if bad else 1 if good else 0
+    letter = lambda c: c.isascii() and c.isalpha() or not c.isascii()
+    upper = sum(w.encode().isupper() for w in words)
+    lettered = sum(any(map(letter, w)) for w in words)
+    size = lambda cs: sum(len(c.encode()) for c in cs)
+    every = size("".join(words))
+    letters = size(c for w in words for c in w if letter(c))
+    return [
+        pick(symbols / n > 0.1, some and symbols / n < 0.01),
+        pick(repeats / n > 0.3, some and repeats / n < 0.05),
+        pick(some and upper / n > 0.4, some and upper / n < 0.1),
+        pick(some and len(set(words)) / n < 0.15, n_words >= 40 and len(set(words)) / n > 0.35),
+        pick(n_words < 10, n_words >= 50),
+        pick(chars / n < 2.5 or chars / n > 12, 3.5 <= chars / n <= 9),
+        pick(dup_lines >= 5, dup_lines == 0),
+        pick(some and lettered / n < 0.8, some and lettered / n > 0.95),
+        pick(some and letters < 0.7 * every, some and letters > 0.9 * every),
+    ]
+
+
+def plain_posteriors(texts):
+    """Expectation-maximisation over single documents, a number at a time."""
+    seen = [plain_votes(t) for t in texts]
+    prior, chance = [1 - rules.PRIOR_GOOD, rules.PRIOR_GOOD], [[0.4] * 9, [0.02] * 9]
+
+    def posterior(v):
+        weight = [math.prod([prior[c], *[chance[c][j] if x < 0 else 1 - chance[c][j] if x > 0 else 1.0 for j, x in enumerate(v)]]) for c in (0, 1)]
+        return weight[1] / sum(weight)
+
+    for _ in range(rules.ROUNDS):
+        good = [posterior(v) for v in seen]
+        fresh = []
+        for c, start in ((0, 0.4), (1, 0.02)):
+            row = []
+            for j in range(9):
+                share = lambda sign: sum((g if c else 1 - g) for g, v in zip(good, seen) if v[j] == sign)  # noqa: B023, E731
+                bad, fine = share(-1), share(1)
+                row.append((bad + rules.PSEUDO * start) / (bad + fine + rules.PSEUDO))
+            fresh.append(row)
+        mass = sum(good)
+        prior = [(len(seen) - mass + rules.PSEUDO * (1 - rules.PRIOR_GOOD)) / (len(seen) + rules.PSEUDO), (mass + rules.PSEUDO * rules.PRIOR_GOOD) / (len(seen) + rules.PSEUDO)]
+        moved = max(abs(a - b) for x, y in zip(fresh, chance) for a, b in zip(x, y))
+        chance = fresh
+        if moved < 1e-9:
+            break
+    return [posterior(v) for v in seen]
+
+
+def test_verdicts_are_those_of_plain_maximisation(spark):
+    rows = corpus()[0] + odd_documents()
+    expected = Counter()
+    for (i, t, *_), p in zip(rows, plain_posteriors([x[1] for x in rows])):
+        n_words, _, _, _, repeats = plain_stats(t)
+        failed = n_words < 50 or 100 * repeats > 50 * n_words
+        assert abs(p - 0.5) > 1e-6
+        expected[i, failed, not failed and p >= 0.5, round(p, 6)] += 1
+    got = Counter((r.doc_id, r.base_failed, r.kept, round(r.posterior, 6)) for r in rules.judge(frame(spark, rows)).collect())
+    assert got == expected
+    stay = Counter(i for (i, _, kept, _), n in expected.items() for _ in range(n) if kept)
+    assert Counter(r.doc_id for r in rules.keep_good(frame(spark, rows)).collect()) == stay
+
+
 def rated(seed=2, n=900):
     r = random.Random(seed)
     vocabulary = ["".join(r.choice("abcdeinorst") for _ in range(r.randrange(2, 7))) for _ in range(800)]
@@ -110,3 +177,67 @@ def test_odd_tables(spark):
     again = ordinal.classify(frame(spark, partitions=5), some).collect()
     assert Counter(map(tuple, ordinal.classify(frame(spark), some).collect())) == Counter(map(tuple, again))
     assert prose(random.Random(0), 3)
+
+
+def plain_fit_gradient(rows, grades, model, penalty):
+    """The slope of the penalised likelihood along each weight in use and each threshold, by differences."""
+    used = sorted({b for at, _ in rows for b in at.tolist() if model.weights[b]})
+
+    def value(weights, cuts):
+        edges, total = [-math.inf, *cuts, math.inf], 0.0
+        for (at, v), g in zip(rows, grades):
+            s = sum(weights[b] * x for b, x in zip(at.tolist(), v.tolist()))
+            tail = lambda c: 1.0 if c == -math.inf else 0.0 if c == math.inf else 1 / (1 + math.exp(c - s))  # noqa: B023, E731
+            total += math.log(tail(edges[g]) - tail(edges[g + 1]))
+        return total / len(rows) - penalty * sum(weights[b] ** 2 for b in used)
+
+    base, out = {b: float(model.weights[b]) for b in used}, []
+    base = {b: base.get(b, 0.0) for at, _ in rows for b in at.tolist()}
+    cuts = model.thresholds.tolist()
+    step = 1e-4
+    for b in used[:12]:
+        up, down = dict(base), dict(base)
+        up[b], down[b] = base[b] + step, base[b] - step
+        out.append((value(up, cuts) - value(down, cuts)) / (2 * step))
+    for i in range(len(cuts)):
+        up, down = list(cuts), list(cuts)
+        up[i], down[i] = cuts[i] + step, cuts[i] - step
+        out.append((value(base, up) - value(base, down)) / (2 * step))
+    return out
+
+
+def test_fit_is_at_the_top_of_the_likelihood():
+    docs, labels = rated(n=300)
+    features = ordinal.Features()
+    rows = [(np.array(list(f)), np.array(list(f.values()))) for f in (features.of(t) for _, t, *_ in docs)]
+    grades = np.array([q + 1 - t for _, q, t in labels])
+    model = ordinal.fit(rows, grades)
+    assert (np.diff(model.thresholds) > 0).all() and np.count_nonzero(model.weights)
+    assert np.abs(plain_fit_gradient(rows, grades.tolist(), model, ordinal.PENALTY)).max() < 5e-3
+
+
+def test_every_row_is_scored_by_the_fitted_model(spark):
+    docs, labels = rated(n=300)
+    known = spark.createDataFrame(labels, LABELS)
+    rows = docs + odd_documents()[-12:]
+    model = ordinal.train(frame(spark, rows), known)
+    features, expected = ordinal.Features(), Counter()
+    for i, t, *_ in rows:
+        s = sum(model.weights[b] * v for b, v in features.of(t).items())
+        tails = [1 / (1 + math.exp(c - s)) for c in model.thresholds]
+        expected[i, round(sum(tails), 5), tails[1] >= 0.5] += 1
+    got = Counter((r.doc_id, round(r.expected_grade, 5), r.kept) for r in ordinal.classify(frame(spark, rows), known).collect())
+    assert got == expected
+
+
+def test_a_rated_id_on_very_many_rows_is_one_rating(spark):
+    docs, labels = rated(n=200)
+    many = [(docs[5][0], f"other text {i}", *docs[5][2:]) for i in range(20_000)]
+    known = spark.createDataFrame(labels, LABELS)
+    seen = []
+    original, ordinal.fit = ordinal.fit, lambda rows, grades: seen.append(len(rows)) or original(rows, grades)
+    try:
+        one, two = [ordinal.train(frame(spark, docs + many, partitions=p), known, sample=200) for p in (2, 5)]
+    finally:
+        ordinal.fit = original
+    assert seen == [200, 200] and (one.weights == two.weights).all() and (one.thresholds == two.thresholds).all()
