@@ -3,6 +3,7 @@
 import random
 from collections import Counter as Bag
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,10 +105,30 @@ def test_count_table(spark, library):
     assert count.count_tokens(frame(spark, []), JSON, split_pattern()).count() == 0
 
 
-def test_library_encoder_equals_whole_texts(library):
-    encoder = token_files.LibraryEncoder(JSON)
-    texts = fuzz(2000, 5) + [" ".join(fuzz(40, 6))]
-    assert encoder.encode_batch(texts) == [u32(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+@pytest.mark.parametrize("room", [50, 400_000])
+def test_library_encoder_equals_whole_texts(library, room):
+    """Also with white space of every kind side by side, and words that are soon forgotten."""
+    encoder = token_files.LibraryEncoder(JSON, room)
+    r = random.Random(8)
+    parts = ["a", "b", "é", " ", " ", "\n", "\t", "\r\n", "\x0b", "\x1c", "'s", "'", "1", "23", ",", ".", "<|endoftext|>", "漢", "ß", "don't", "word", "ª", "\u0301", "x²", "\x85"]
+    texts = fuzz(2000, 5) + [" ".join(fuzz(40, 6))] + ["".join(r.choice(parts) for _ in range(r.randrange(60))) for _ in range(3000)]
+    for at in range(0, len(texts), 1500):
+        some = texts[at : at + 1500]
+        values, counts = encoder.encode(pa.array(some, pa.string()), [0])
+        want = [[*e.ids, 0] for e in library.encode_batch(some, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and values.tolist() == [i for ids in want for i in ids]
+
+
+def test_equal_rows_are_dealt_over_the_files(spark):
+    """One row that fills the table is written by many tasks, and starts still follow each other."""
+    from framesift.plans.staging import shared_path
+
+    rows = [(5, "the same text", "en", "a", 0, 0, "", 0.0, "")] * 300
+    path = shared_path(spark, "test-tokens")
+    token_files.write_token_files(frame(spark, rows, partitions=5), JSON, path, files=6)
+    per_file = spark.read.parquet(path).groupBy("file").count().collect()
+    got = sorted(token_files.token_checksums(spark, path).collect(), key=lambda r: r.start)
+    assert len(per_file) > 3 and [r.start for r in got] == [i * got[0].n_tokens for i in range(300)]
 
 
 def test_token_files(spark, library):
