@@ -84,25 +84,37 @@ def test_digests(spark, tik):
     assert bpe.digest_documents(frame(spark, []), RANKS, split_pattern()).count() == 0
 
 
-def test_counts_compose_over_any_chunks(library):
+def test_maps_of_any_chunks_compose(library):
+    """From one character on: the states chunks end in are those the next ones begin in, and counts add up to the library's."""
     machine = count.counter(JSON, split_pattern())
     r = random.Random(7)
-    for text in fuzz(3000, 3):
+    texts = fuzz(1500, 3) + ["don't we'll 'llama ''s 'r 'x", "a<|endoftext|>b <|endof <|endoftext|> \n<|endoftext|>", "x" * 900, "word " * 60, "  \n " * 50, "漢字" * 200]
+    for text in texts:
         want = len(library.encode(text, add_special_tokens=False).ids)
-        cut = sorted(r.sample(range(1, max(2, len(text))), min(len(text) // 3, 6))) if len(text) > 6 else []
-        maps = [machine.map(text[a:b]) for a, b in zip([0, *cut], [*cut, len(text)])]
-        assert machine.count(text) == want and machine.total(maps) == want
-        if len(maps) > 2:  # in any grouping
-            left = machine.compose(machine.compose(maps[0], maps[1]), maps[2])
-            right = machine.compose(maps[0], machine.compose(maps[1], maps[2]))
-            assert machine.total([left, *maps[3:]]) == machine.total([right, *maps[3:]]) == want
-
-
-def test_count_table(spark, library):
-    want = Bag((i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 30) for i, t, *_ in odd_documents())
-    for chunk in (20, 1 << 16):
-        assert Bag(tuple(r) for r in count.count_tokens(frame(spark), JSON, split_pattern(), limit=30, chunk=chunk).collect()) == want
-    assert count.count_tokens(frame(spark, []), JSON, split_pattern()).count() == 0
+        for size in (1, 2, 7, 300, None):
+            cuts = sorted(r.sample(range(1, max(2, len(text))), min(len(text) // 3, 6))) if size is None and len(text) > 6 else [*range(size or 1, len(text), size or 1)]
+            state, total = count.START, 0
+            for a, b in zip([0, *cuts], [*cuts, len(text)]):
+                known = machine.entry(text[:a])
+                assert known is None or known == state
+                state, n = machine.map(state, text[a:b], b == len(text))
+                total += n
+            assert total == want
+        assert machine.count(text) == want
+
+
+def test_states_are_the_same_in_every_machine():
+    """Names of states do not depend on what a machine has read before."""
+    one, two = count.Counter(JSON, split_pattern()), count.counter(JSON, split_pattern())
+    for text in fuzz(200, 11) + ["unfinished wo", "x" * 50, "tail \n", "it'l"]:
+        assert one.run(count.START, text) == two.run(count.START, text)
+
+
+def test_very_long_texts_without_a_space(spark, library):
+    texts = ["q" * 5000, "漢字" * 2000, "ab1!" * 1200, "\n" * 3000, "x" * 700 + " " + "y" * 700 + " z " + "=" * 900, "a b " * 900 + "w" * 2000 + " end"]
+    rows = [(i, t, "en", "a", 0, 0, "", 0.0, "") for i, t in enumerate(texts + texts[:2] + texts[:1])]
+    want = Bag((i, len(t.encode()), n := len(library.encode(t, add_special_tokens=False).ids), n > 30) for i, t, *_ in rows)
+    assert Bag(tuple(r) for r in count.count_tokens(frame(spark, rows), JSON, split_pattern(), limit=30, chunk=100).collect()) == want
 
 
 @pytest.mark.parametrize("room", [50, 400_000])
