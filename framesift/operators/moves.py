@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACTIVE = "restored_at IS NULL"
@@ -18,9 +19,17 @@ def move_status(journal: DataFrame) -> DataFrame:
     )
 
 
-def resolve_sources(paths: DataFrame, journal: DataFrame) -> DataFrame:
-    """Where each path's file is now: the destination of its last active move, else the path. journal has idx, its order."""
-    last = journal.where(ACTIVE).groupBy(F.col("source").alias("path")).agg(F.max_by("destination", "idx").alias("moved_to"))
+def resolve_sources(paths: DataFrame, journal: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """Where each path's file is now: the destination of its last active move of the primary set, else the path.
+
+    journal has idx, its order. With ``present`` (path: the files that exist) a path that exists stays as it is, and only
+    destinations that exist count.
+    """
+    moved = journal.where(ACTIVE).where("source_set = 'primary'")
+    if present is not None:
+        here = present.select("path").distinct()
+        moved = moved.join(here.withColumnRenamed("path", "destination"), "destination", "left_semi").join(here.withColumnRenamed("path", "source"), "source", "left_anti")
+    last = moved.groupBy(F.col("source").alias("path")).agg(F.max_by("destination", "idx").alias("moved_to"))
     return paths.join(last, "path", "left").withColumn("resolved", F.coalesce("moved_to", "path"))
 
 
@@ -29,12 +38,41 @@ def safe_components(path: Column) -> Column:
     return F.array_join(F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", ".", "..")), "/")
 
 
+#: A path's name up to its extension, and the extension; a dot that begins a name begins no extension.
+NAME = r"(?s)^(.*?[^/])(\.[^./]*)?\z"
+
+
 def plan_targets(files: DataFrame, root: str, order: Column) -> DataFrame:
-    """target for each file under root: the same relative path, numbered _1, _2 ... before the extension where taken."""
+    """target for each file under root: the same relative path, numbered _1, _2 ... before the extension where taken.
+
+    Files take their targets in ``order``, and a number that an earlier file has, by number or by name, is passed over, so no
+    two targets are equal. Only files whose names agree up to such numbers can meet; these are sorted together and stream
+    through one task, which holds the names they have taken.
+    """
+    spark_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    columns = files.columns
     wanted = F.concat(F.lit(root.rstrip("/") + "/"), safe_components(F.col("rel_path")))
-    parts = files.withColumn("wanted", wanted).withColumn("n", F.row_number().over(Window.partitionBy("wanted").orderBy(order)) - 1)
-    base, dot = F.regexp_extract("wanted", r"(?s)^(.*?)(\.[^./]*)?\z", 1), F.regexp_extract("wanted", r"(?s)^(.*?)(\.[^./]*)?\z", 2)
-    return parts.withColumn("target", F.when(F.col("n") == 0, F.col("wanted")).otherwise(F.concat(base, F.lit("_"), F.col("n").cast("string"), dot))).drop("wanted", "n")
+    parts = files.withColumn("__wanted", wanted).withColumns({"__base": F.regexp_extract("__wanted", NAME, 1), "__dot": F.regexp_extract("__wanted", NAME, 2)})
+    family = F.concat(F.regexp_replace("__base", r"(_[0-9]+)+\z", ""), F.lit("/"), "__dot")
+    rows = parts.withColumns({"__family": family, "__order": order}).repartition("__family").sortWithinPartitions("__family", "__order")
+
+    def take(batches):
+        last, taken, tried = None, set(), {}
+        for batch in batches:
+            targets = []
+            for family, whole, base, dot in zip(*[batch.column(c).to_pylist() for c in ("__family", "__wanted", "__base", "__dot")]):
+                if family != last:
+                    last, taken, tried = family, set(), {}
+                target, n = whole, tried.get(whole, 0)
+                while target in taken:
+                    n += 1
+                    target = f"{base}_{n}{dot if dot != '.' else ''}"
+                tried[whole] = n
+                taken.add(target)
+                targets.append(target)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(targets, pa.string())], [*columns, "target"])
+
+    return rows.mapInArrow(take, f"{spark_fields}, target string")
 
 
 def rewrite_destinations(journal: DataFrame, old: str, new: str) -> DataFrame:

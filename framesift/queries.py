@@ -611,7 +611,7 @@ def move_status(spark, sf_dir):
     return moves.move_status(order_journal(spark, sf_dir)).withColumn("asset_ids", F.array_join("asset_ids", ","))
 
 
-@query(D_SQL + """, p AS (SELECT '/card/' || id || '.jpg' AS path FROM f), a AS (SELECT source, arg_max(destination, idx) AS moved_to FROM m WHERE restored_at IS NULL GROUP BY source)
+@query(D_SQL + """, p AS (SELECT '/card/' || id || '.jpg' AS path FROM f), a AS (SELECT source, arg_max(destination, idx) AS moved_to FROM m WHERE restored_at IS NULL AND source_set = 'primary' GROUP BY source)
 SELECT path, coalesce(moved_to, path) AS resolved FROM p LEFT JOIN a ON path = source""")
 def resolve_source(spark, sf_dir):
     paths = document_frames(spark, sf_dir).select(F.concat(F.lit("/card/"), "id", F.lit(".jpg")).alias("path"))
@@ -648,6 +648,25 @@ def counterpart_plan(spark, sf_dir):
     return counterpart.plan_counterparts(decided(spark, sf_dir), card, active)
 
 
+@query(D_SQL + """, c AS (SELECT page_id::VARCHAR AS card_id, upper((['en', 'de', 'fr', 'es', 'it'])[page_id % 5 + 1] || '_' || (page_id % 40)) AS stem, page_id % 2 = 0 AS has_raw, page_id % 3 = 0 AS has_compressed FROM pages),
+o AS (SELECT lower(stem) AS k, kind, count(*) AS n, min(card_id) AS card_id FROM (SELECT stem, card_id, 'raw' AS kind FROM c WHERE has_raw UNION ALL SELECT stem, card_id, 'compressed' FROM c WHERE has_compressed) GROUP BY 1, 2),
+s AS (SELECT lower(stem) AS k, count(*) AS same FROM j GROUP BY 1),
+x AS (SELECT id, stem, CASE WHEN has_raw AND NOT has_compressed THEN 'compressed' WHEN has_compressed AND NOT has_raw THEN 'raw' END AS expected_kind FROM j WHERE operation_action = 'reject'),
+y AS (SELECT x.*, o.card_id AS found, CASE WHEN expected_kind IS NULL THEN 'skipped_paired' WHEN id IN (SELECT asset_id FROM m WHERE restored_at IS NULL AND source_set = 'counterpart') THEN 'already_applied'
+      WHEN same > 25 THEN 'conflicting' WHEN o.n IS NULL THEN 'unmatched' WHEN o.n > 1 THEN 'ambiguous' ELSE 'matched' END AS status
+      FROM x JOIN s ON lower(x.stem) = s.k LEFT JOIN o ON lower(x.stem) = o.k AND o.kind = x.expected_kind),
+z AS (SELECT id, stem, expected_kind, CASE WHEN status IN ('skipped_paired', 'already_applied') THEN status WHEN (SELECT same FROM s WHERE s.k = lower(y.stem)) > 1 THEN 'conflicting' ELSE status END AS status,
+       CASE WHEN status = 'matched' AND (SELECT same FROM s WHERE s.k = lower(y.stem)) = 1 THEN found END AS card_id FROM y)
+SELECT id AS asset_id, '/b/' || card_id || ext AS source, '/moved/x' || card_id || ext AS target, (card_id::BIGINT + length(ext))::BIGINT AS size
+FROM z, (VALUES ('.jpg'), ('.nef'), ('.xmp')) v(ext) WHERE status = 'matched' AND CASE ext WHEN '.jpg' THEN card_id::BIGINT % 3 = 0 WHEN '.nef' THEN card_id::BIGINT % 2 = 0 ELSE true END""")
+def counterpart_transfers(spark, sf_dir):
+    i, name = F.col("page_id"), F.col("page_id").cast("string")
+    file = lambda ext: F.struct(F.concat(F.lit("/b/"), name, F.lit(ext)).alias("path"), F.concat(F.lit("x"), name, F.lit(ext)).alias("rel_path"), (i + len(ext)).alias("size"))
+    files = F.array_compact(F.array(F.when(i % 3 == 0, file(".jpg")), F.when(i % 2 == 0, file(".nef"))))
+    card = read(spark, sf_dir, "pages").select(name.alias("card_id"), files.alias("files"), F.array(file(".xmp"), file(".xmp")).alias("sidecars"))
+    return counterpart.counterpart_transfers(counterpart_plan(spark, sf_dir), card, "/moved").select("asset_id", "source", "target", "size")
+
+
 @query("""SELECT o_custkey, count(DISTINCT o_orderstatus) > 1 AS o_orderstatus_varies, count(DISTINCT o_orderpriority) > 1 AS o_orderpriority_varies,
 count(DISTINCT (o_orderstatus, o_orderpriority)) > 1 AS record_varies FROM orders GROUP BY o_custkey""")
 def metadata_diff(spark, sf_dir):

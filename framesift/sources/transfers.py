@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
+import tempfile
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import NamedTuple
@@ -18,49 +20,71 @@ class Transfer(NamedTuple):
     size: int
 
 
-def check_destination(destination: str, source_root: str) -> str:
+def temporary_roots() -> tuple[str, ...]:
+    """Folders that systems empty by themselves."""
+    return (tempfile.gettempdir(), "/tmp", "/private/tmp", "/var/tmp")
+
+
+def inside(path: str, folder: str) -> bool:
+    """Whether a path is the folder or under it, by name alone: links are not followed."""
+    path, folder = os.path.normpath(os.path.abspath(path)), os.path.normpath(os.path.abspath(folder))
+    return path == folder or path.startswith(folder.rstrip(os.sep) + os.sep)
+
+
+def check_destination(destination: str, source_root: str, temporary: tuple[str, ...] | None = None) -> str:
     """The absolute destination; one inside the source, or in a folder for temporary files, is refused."""
-    path, root = os.path.normpath(os.path.abspath(destination)), os.path.normpath(os.path.abspath(source_root))
-    if path == root or path.startswith(root + os.sep):
-        raise ValueError("the destination is inside the source folder")
-    return path
+    if inside(destination, source_root):
+        raise ValueError(f"the destination is inside the source folder {source_root}")
+    for folder in temporary_roots() if temporary is None else temporary:
+        if inside(destination, folder):
+            raise ValueError(f"the destination is in {folder}, where files do not stay")
+    return os.path.normpath(os.path.abspath(destination))
 
 
-def free_target(target: str) -> str:
-    """The target, or with _1, _2 ... before its extension the first that isn't there yet."""
+def free_target(target: str, reserved: set[str]) -> str:
+    """The target, or with _1, _2 ... before its extension the first that isn't there and that nobody has reserved; it is
+    reserved then."""
     path, n = Path(target), 0
-    while path.exists():
+    while path.exists() or str(path) in reserved:
         n += 1
         path = Path(target).with_name(f"{Path(target).stem}_{n}{Path(target).suffix}")
+    reserved.add(str(path))
     return str(path)
 
 
-def move_file(source: str, target: str, size: int) -> None:
-    """Copy, compare sizes, delete: the source goes only when the copy is whole."""
+def copy_file(source: str, target: str, size: int) -> None:
+    """A whole copy under a name that was free, or none: nothing is written over."""
     if os.path.getsize(source) != size:
         raise OSError(f"{source} has changed since it was listed")
     os.makedirs(os.path.dirname(target), exist_ok=True)
+    with open(target, "xb"):  # an error if somebody else has taken the name
+        pass
     try:
         shutil.copy2(source, target)
         if os.path.getsize(target) != size:
             raise OSError(f"the copy of {source} isn't whole")
     except OSError:
-        if os.path.exists(target):
-            os.unlink(target)
+        os.unlink(target)
         raise
-    os.unlink(source)
 
 
 def move_group(group: list[Transfer]) -> None:
-    """All files of one asset; if one fails those before go back."""
-    done: list[Transfer] = []
+    """All files of one asset: every copy is made and checked before the first source goes. If a copy fails, all copies go; if a
+    source can't be deleted, those already gone come back and the copies go."""
+    made: list[Transfer] = []
+    gone: list[Transfer] = []
     try:
         for t in group:
-            move_file(t.source, t.target, t.size)
-            done.append(t)
+            copy_file(t.source, t.target, t.size)
+            made.append(t)
+        for t in group:
+            os.unlink(t.source)
+            gone.append(t)
     except OSError:
-        for t in reversed(done):
-            move_file(t.target, t.source, t.size)
+        for t in gone:
+            shutil.copy2(t.target, t.source)
+        for t in made:
+            os.unlink(t.target)
         raise
 
 
@@ -77,6 +101,7 @@ def move_assets(folder: str, plan: list[Transfer], confirm: bool, source_set: st
         raise ValueError("moving files needs confirmation")
     rows = runs.journal_rows(folder)
     active = {r[0] for r in rows if r[8] is None and r[1] == source_set}
+    reserved: set[str] = set()
     report = {"moved": [], "skipped": [], "failed": {}}
     for asset, group in by_asset(plan).items():
         if asset in active:
@@ -85,7 +110,7 @@ def move_assets(folder: str, plan: list[Transfer], confirm: bool, source_set: st
         try:
             if missing := [t.source for t in group if not os.path.isfile(t.source)]:
                 raise OSError(f"missing: {', '.join(missing)}")
-            group = [t._replace(target=free_target(t.target)) for t in group]
+            group = [t._replace(target=free_target(t.target, reserved)) for t in group]
             move_group(group)
         except OSError as e:
             report["failed"][asset] = str(e)
@@ -131,24 +156,56 @@ def write_report(folder: str, operation: str, report: dict) -> dict:
     return report
 
 
+def tree_digests(folder: str) -> dict[str, str]:
+    """SHA-256 of every file under a folder by its path there; a link counts as what it points to by name."""
+    found = {}
+    for base, folders, files in os.walk(folder):
+        for name in [*files, *[f for f in folders if os.path.islink(os.path.join(base, f))]]:
+            path = os.path.join(base, name)
+            if os.path.islink(path):
+                found[os.path.relpath(path, folder)] = "link:" + os.readlink(path)
+            else:
+                with open(path, "rb") as file:
+                    found[os.path.relpath(path, folder)] = hashlib.file_digest(file, "sha256").hexdigest()
+    return found
+
+
 def relocate_run(folder: str, target: str) -> str:
-    """Move a run folder; destinations in its journal that lay inside follow it."""
+    """Move a run folder; destinations in its journal that lay inside follow it.
+
+    The copy is made beside the target, compared file by file, and takes its name only when it is whole; the old folder goes
+    after that. A folder that isn't a run, or a target inside it, is refused.
+    """
+    check_run(folder)
+    if inside(target, folder):
+        raise ValueError(f"{target} is inside the run folder")
     if os.path.exists(target):
         n = 2
         while os.path.exists(f"{target} {n}"):
             n += 1
         target = f"{target} {n}"
-    rows = runs.journal_rows(folder)
-    shutil.copytree(folder, target)
-    inside = lambda d: d.startswith(folder.rstrip("/") + "/")
-    if rows:
-        runs.write_journal(target, [(*r[:5], target + r[5][len(folder.rstrip("/")) :] if inside(r[5]) else r[5], *r[6:]) for r in rows])
+    beside, rows = f"{target}.partial", runs.journal_rows(folder)
+    try:
+        shutil.copytree(folder, beside, symlinks=True)
+        if tree_digests(beside) != tree_digests(folder):
+            raise OSError(f"the copy of {folder} isn't whole")
+        if rows:
+            within = lambda d: d.startswith(folder.rstrip("/") + "/")
+            runs.write_journal(beside, [(*r[:5], target + r[5][len(folder.rstrip("/")) :] if within(r[5]) else r[5], *r[6:]) for r in rows])
+        os.rename(beside, target)
+    except OSError:
+        shutil.rmtree(beside, ignore_errors=True)
+        raise
     shutil.rmtree(folder)
     return target
 
 
-def remove_run(folder: str) -> None:
-    """Delete a run folder; a link, or a folder that isn't a run, is refused."""
+def check_run(folder: str) -> None:
     if os.path.islink(folder) or not os.path.isfile(f"{folder}/manifest.json"):
         raise ValueError(f"{folder} is not a run folder")
+
+
+def remove_run(folder: str) -> None:
+    """Delete a run folder; a link, or a folder that isn't a run, is refused."""
+    check_run(folder)
     shutil.rmtree(folder)

@@ -59,6 +59,31 @@ def test_paths_and_targets(spark):
     df = spark.createDataFrame([("a/../b//c.jpg", 1), ("b/c.jpg", 2), ("./b/c.jpg", 3)], "rel_path string, n int")
     got = [r.target for r in moves.plan_targets(df, "/out", F.col("n")).orderBy("n").collect()]
     assert got == ["/out/a/b/c.jpg", "/out/b/c.jpg", "/out/b/c_1.jpg"]
+    names = ["a.jpg", "a.jpg", "a_1.jpg", "a_1.jpg", "a.jpg", "A.jpg", ".x", ".x", "n", "n", "n_2", "n", "d.e/f", "d.e/f", "t.", "t."]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "rel_path string, n int").repartition(5)
+    got = [r.target.removeprefix("/o/") for r in moves.plan_targets(df, "/o", F.col("n")).orderBy("n").collect()]
+    assert got == ["a.jpg", "a_1.jpg", "a_1_1.jpg", "a_1_2.jpg", "a_2.jpg", "A.jpg", ".x", ".x_1", "n", "n_1", "n_2", "n_3", "d.e/f", "d.e/f_1", "t.", "t_1"]
+
+
+def test_sources_that_have_moved(spark):
+    journal = spark.createDataFrame(
+        [(1, "primary", "/c/a", "/o/a", None), (2, "primary", "/c/a", "/p/a", None), (3, "counterpart", "/c/b", "/o/b", None), (4, "primary", "/c/d", "/o/d", None), (5, "primary", "/c/e", "/o/e", "then")],
+        "idx int, source_set string, source string, destination string, restored_at string",
+    )
+    paths = spark.createDataFrame([(f"/c/{x}",) for x in "abde"], "path string")
+    at = lambda df: {r.path: r.resolved for r in df.collect()}
+    assert at(moves.resolve_sources(paths, journal)) == {"/c/a": "/p/a", "/c/b": "/c/b", "/c/d": "/o/d", "/c/e": "/c/e"}
+    present = spark.createDataFrame([("/o/a",), ("/c/d",), ("/o/d",)], "path string")
+    assert at(moves.resolve_sources(paths, journal, present)) == {"/c/a": "/o/a", "/c/b": "/c/b", "/c/d": "/c/d", "/c/e": "/c/e"}
+
+
+def test_counterpart_files(spark):
+    plan = spark.createDataFrame([("1", "B", "matched", "x"), ("2", "a", "matched", "y"), ("3", "c", "unmatched", None)], "id string, stem string, status string, card_id string")
+    kind = "array<struct<path:string,rel_path:string,size:bigint>>"
+    card = spark.createDataFrame([("x", [("/k/d/B.nef", "d/B.nef", 5)], [("/k/d/B.xmp", "d/B.xmp", 1), ("/k/d/B.xmp", "d/B.xmp", 1)]), ("y", [("/k/a.jpg", "a.jpg", 2)], None)], f"card_id string, files {kind}, sidecars {kind}")
+    got = sorted(tuple(r) for r in counterpart.counterpart_transfers(plan, card, "/out").select("asset_id", "source", "target", "size").collect())
+    assert got == [("1", "/k/d/B.nef", "/out/d/B.nef", 5), ("1", "/k/d/B.xmp", "/out/d/B.xmp", 1), ("2", "/k/a.jpg", "/out/a.jpg", 2)]
+    assert [r.id for r in counterpart.matches_in_order(plan).collect()] == ["2", "1"]
 
 
 def test_decisions(spark):

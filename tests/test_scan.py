@@ -58,6 +58,7 @@ def test_run_folder_round_trip(spark, scanned, tmp_path):
 def test_moves_are_whole_and_reversible(spark, tmp_path):
     card, out, run = tmp_path / "card", tmp_path / "out", tmp_path / "run"
     card.mkdir(), run.mkdir()
+    runs.write_json(f"{run}/manifest.json", {})
     for name, size in (("a.jpg", 10), ("a.nef", 9), ("b.jpg", 5)):
         (card / name).write_bytes(b"x" * size)
     plan = [transfers.Transfer("a", f"{card}/a.jpg", f"{out}/a.jpg", 10), transfers.Transfer("a", f"{card}/a.nef", f"{out}/a.nef", 9), transfers.Transfer("b", f"{card}/b.jpg", f"{out}/b.jpg", 5), transfers.Transfer("b", f"{card}/gone", f"{out}/gone", 5)]
@@ -79,6 +80,58 @@ def test_moves_are_whole_and_reversible(spark, tmp_path):
         transfers.check_destination(f"{card}/inner", str(card))
 
 
+def test_targets_are_reserved_and_nothing_is_written_over(tmp_path):
+    """Two files of a group, or of two groups, that want one name get two; a name taken meanwhile is an error, and no file is lost."""
+    card, out, run = tmp_path / "card", tmp_path / "out", tmp_path / "run"
+    (card / "x").mkdir(parents=True), (card / "y").mkdir(), run.mkdir()
+    for name in ("x/a.jpg", "y/a.jpg", "a_1.jpg", "b.jpg"):
+        (card / name).write_bytes(name.encode())
+    move = lambda asset, name, to: transfers.Transfer(asset, f"{card}/{name}", f"{out}/{to}", len(name))
+    plan = [move("1", "x/a.jpg", "a.jpg"), move("1", "y/a.jpg", "a.jpg"), move("2", "a_1.jpg", "a_1.jpg")]
+    assert transfers.move_assets(str(run), plan, confirm=True)["moved"] == ["1", "2"]
+    assert sorted(p.read_bytes() for p in out.iterdir()) == [b"a_1.jpg", b"x/a.jpg", b"y/a.jpg"]
+    with pytest.raises(FileExistsError):
+        transfers.copy_file(f"{card}/b.jpg", f"{out}/a.jpg", 5)
+    assert (out / "a.jpg").read_bytes() == b"x/a.jpg" and (card / "b.jpg").exists()
+    with pytest.raises(OSError):
+        transfers.move_group([move("3", "b.jpg", "b.jpg"), move("3", "gone.jpg", "gone.jpg")])
+    assert (card / "b.jpg").exists() and not (out / "b.jpg").exists()
+
+
+def test_destinations_that_files_do_not_stay_in_are_refused(tmp_path):
+    for bad in ("/tmp/x", "/var/tmp", "/card/x", "/card/y/../z"):
+        with pytest.raises(ValueError):
+            transfers.check_destination(bad, "/card")
+    assert transfers.check_destination("/cards/../keep//here", "/card") == "/keep/here"
+    assert transfers.check_destination("/cardinal", "/card", ("/mnt",)) == "/cardinal"
+
+
+def test_relocation_is_verified(tmp_path, monkeypatch):
+    run = tmp_path / "run"
+    (run / "thumbs").mkdir(parents=True)
+    runs.write_json(f"{run}/manifest.json", {"a": 1})
+    (run / "thumbs/x").write_bytes(b"12345")
+    os.symlink("x", run / "thumbs/link")
+    with pytest.raises(ValueError):
+        transfers.relocate_run(str(run), f"{run}/inner")
+    with pytest.raises(ValueError):
+        transfers.relocate_run(str(tmp_path), str(tmp_path / "other"))
+    whole = transfers.shutil.copytree
+
+    def lossy(source, target, *args, **options):
+        whole(source, target, *args, **options)
+        (tmp_path / "new.partial/thumbs/x").write_bytes(b"12")
+
+    monkeypatch.setattr(transfers.shutil, "copytree", lossy)
+    with pytest.raises(OSError):
+        transfers.relocate_run(str(run), str(tmp_path / "new"))
+    assert (run / "thumbs/x").read_bytes() == b"12345" and sorted(p.name for p in tmp_path.iterdir()) == ["run"]
+    monkeypatch.setattr(transfers.shutil, "copytree", whole)
+    (tmp_path / "new").mkdir()
+    moved = transfers.relocate_run(str(run), str(tmp_path / "new"))
+    assert moved == f"{tmp_path}/new 2" and not run.exists() and os.readlink(f"{moved}/thumbs/link") == "x"
+
+
 def test_scripts_quote_names(spark, tmp_path):
     rejects = spark.createDataFrame([("/c/it's.jpg", "/o/it's.jpg")], "source string, target string")
     text = runs.move_script(rejects, str(tmp_path / "move.sh"))
