@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from framesift.operators.assets import DISCOVERY_ORDER, with_order_keys
 from framesift.options import ScanOptions
-from framesift.plans.fold import greedy_fold, number_rows
+from framesift.plans.fold import greedy_fold, number_starts
+from framesift.plans.staging import stage
 
 KEYS = ["directory", "prefix"]
 
@@ -48,23 +49,27 @@ def span_step(span_ms: int):
 
 
 def split_bursts(frames: DataFrame, options: ScanOptions) -> DataFrame:
-    """Frames (directory, prefix, seq, time_ms, stem, ...) with burst_start: whether a burst begins there.
+    """Frames (directory, prefix, seq, time_ms, stem, ...) with burst_start, whether a burst begins there, and pos, a frame's
+    place in its (directory, prefix).
 
-    What two neighbours decide is a window; only the span, which counts from where the burst began, is folded over the
-    rows in order. Both use one partitioning, by (directory, prefix).
+    What two neighbours decide is a window, and cuts a (directory, prefix) into islands. Only the span, which counts from
+    where the burst began, must be folded over the rows in order, from the start of each island. An island whose times lie
+    within the span can't be split by it and is not folded; the others are dealt out island by island, so that a
+    folder with most of the frames is work for many tasks.
     """
-    hard = adjacent_splits(frames, options)
-    order = [F.col("seq_key"), F.col("time_key"), F.col("stem")]
-    return greedy_fold(hard, KEYS, order, span_step(options.max_cluster_span_ms), ["hard_split", "time_ms", "prev_ms"], "burst_start")
+    island = Window.partitionBy(*KEYS, "island")
+    order = Window.partitionBy(*KEYS).orderBy("seq_key", "time_key", "stem")
+    hard = adjacent_splits(frames, options).withColumns({"island": F.sum(F.col("hard_split").cast("bigint")).over(order), "pos": F.row_number().over(order).cast("bigint")})
+    cut = stage(hard.withColumn("__long", F.coalesce(F.max("time_ms").over(island) - F.min("time_ms").over(island) > options.max_cluster_span_ms, F.lit(False))), "islands")
+    short = cut.where(~F.col("__long")).drop("__long", "island").withColumn("burst_start", F.col("hard_split"))
+    long = cut.where("__long").drop("__long")
+    folded = greedy_fold(long, [*KEYS, "island"], [F.col("pos")], span_step(options.max_cluster_span_ms), ["hard_split", "time_ms", "prev_ms"], "burst_start")
+    return short.unionByName(folded.drop("island"))
 
 
 def number_bursts(split: DataFrame) -> DataFrame:
-    """Adds burst_id, 1, 2, ... over all bursts in order of directory, prefix and place, and pos, a frame's place in its key."""
-    order = Window.partitionBy(*KEYS).orderBy("seq_key", "time_key", "stem")
-    running = split.withColumns({"burst_no": F.sum(F.col("burst_start").cast("bigint")).over(order), "pos": F.row_number().over(order).cast("bigint")})
-    starts = running.where("burst_start").select(*KEYS, "burst_no")
-    ids = number_rows(starts, [F.col("directory"), F.col("prefix"), F.col("burst_no")], "burst_id")
-    return running.join(ids, [*KEYS, "burst_no"])
+    """Adds burst_id, 1, 2, ... over all bursts in order of directory, prefix and place."""
+    return number_starts(split, [F.col("directory"), F.col("prefix"), F.col("pos")], "burst_start", "burst_id")
 
 
 def bursts(frames: DataFrame, options: ScanOptions) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,3 +55,29 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         return written.drop("__part", "__at").withColumn(name, F.lit(None).cast("bigint"))
     offset = F.element_at(F.lit([before.get(p, 0) for p in range(max(before) + 1)]), F.col("__part").cast("int") + 1)
     return written.withColumn(name, offset + F.col("__at") + 1).drop("__part", "__at")
+
+
+def number_starts(df: DataFrame, order: list[Column], start: str, name: str) -> DataFrame:
+    """Adds ``name``: how many rows with ``start`` there are up to each row, in order over the whole table.
+
+    Rows are range-partitioned by the whole order, so runs and keys of any length are spread, and written once with the
+    count within their partition; what is added to it are the counts of the partitions before, one number each.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    columns = df.columns
+
+    def count(batches):
+        from pyspark import TaskContext
+
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            so_far = before + np.cumsum(batch.column(columns.index(start)).to_numpy(zero_copy_only=False).astype(np.int64))
+            before = int(so_far[-1]) if len(so_far) else before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(so_far), part, np.int32)), pa.array(so_far)], [*columns, "__part", "__at"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    written = stage(dealt.mapInArrow(count, f"{fields}, __part int, __at bigint"), "numbered")
+    found = {r["__part"]: r["n"] for r in written.groupBy("__part").agg(F.max("__at").alias("n")).collect()}
+    sizes = [found.get(p, 0) for p in range(max(found, default=0) + 1)]
+    offset = F.element_at(F.lit(np.concatenate([[0], np.cumsum(sizes)[:-1]]).tolist()).cast("array<bigint>"), F.col("__part") + 1)
+    return written.withColumn(name, offset + F.col("__at")).drop("__part", "__at")

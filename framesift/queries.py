@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from framesift.functions import columns as C
 from framesift.operators import accuracy, assets, browser, bursts, counterpart, moves, ranking, reports, review, similarity
 from framesift.options import PRESETS, ScanOptions
-from framesift.plans.fold import number_rows
+from framesift.plans.fold import number_rows, number_starts
 
 HOUR = 3_600_000
 EVENT_OPTIONS = ScanOptions(max_time_gap_ms=6 * HOUR, max_cluster_span_ms=12 * HOUR, max_seq_gap=12)
@@ -293,10 +293,8 @@ near AS (SELECT m.vec_id, m.burst_id, m.start, min(w.dist) AS nearest, max(w.dis
 
 @query(STACK_SQL + "SELECT vec_id, pos = start AS stack_start, dense_rank() OVER (ORDER BY burst_id, start) AS stack_id FROM m")
 def stacks_complete_link(spark, sf_dir):
-    rows = stacked(spark, sf_dir)
-    running = rows.withColumn("stack_no", F.sum(F.col("stack_start").cast("bigint")).over(Window.partitionBy("burst_id").orderBy("pos")))
-    ids = number_rows(running.where("stack_start").select("burst_id", "stack_no"), [F.col("burst_id"), F.col("stack_no")], "stack_id")
-    return running.join(ids, ["burst_id", "stack_no"]).select("vec_id", "stack_start", "stack_id")
+    rows = stacked(spark, sf_dir).select("vec_id", "burst_id", "pos", "stack_start")
+    return number_starts(rows, [F.col("burst_id"), F.col("pos")], "stack_start", "stack_id").select("vec_id", "stack_start", "stack_id")
 
 
 @query(STACK_SQL + f"""SELECT m.vec_id, round(coalesce(nearest, 1.0), 6) AS nearest_distance, round(CASE WHEN nearest IS NULL THEN 0.0 ELSE 1 - 0.35 * least(nearest / {STACK_THRESHOLD}, 1.0) END, 6) AS duplicate_confidence,

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.functions import columns as C
 from framesift.functions import kernels
 from framesift.operators import assets, bursts, ranking, similarity
 from framesift.options import ScanOptions
-from framesift.plans.fold import number_rows
+from framesift.plans.fold import number_starts
 from framesift.plans.staging import stage
 from framesift.sources import files, images
 
@@ -54,10 +54,7 @@ def measured_assets(spark: SparkSession, root: str, options: ScanOptions) -> Dat
 def stack_bursts(numbered: DataFrame, options: ScanOptions) -> DataFrame:
     """Adds the stack's fields and stack_id, 1, 2, ... in order of bursts."""
     rows = similarity.stack_frames(numbered, ["burst_id"], [F.col("pos")], [*DESCRIPTOR, "dhash", "error"], compare_rows, same_scene(options.max_hash_gap), options.max_duplicate_distance)
-    running = rows.withColumn("stack_no", F.sum(F.col("stack_start").cast("bigint")).over(Window.partitionBy("burst_id").orderBy("pos")))
-    staged = stage(running, "stacked")
-    ids = number_rows(staged.where("stack_start").select("burst_id", "stack_no"), [F.col("burst_id"), F.col("stack_no")], "stack_id")
-    return staged.join(ids, ["burst_id", "stack_no"])
+    return number_starts(rows, [F.col("burst_id"), F.col("pos")], "stack_start", "stack_id")
 
 
 def scan(spark: SparkSession, root: str, options: ScanOptions = ScanOptions()) -> DataFrame:
