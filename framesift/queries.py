@@ -27,12 +27,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str):
-    """Registers a query under its function's name, with its SQL."""
+def query(sql: str | None):
+    """Registers a query under its function's name, with its SQL where it has one."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
         return f
 
     return add
@@ -340,59 +341,6 @@ def luma_histogram(spark, sf_dir):
     return pixels(spark, sf_dir).groupBy(F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("pixels"))
 
 
-@query(PIXELS_SQL + """, r AS (SELECT vec_id, v, row_number() OVER (PARTITION BY vec_id ORDER BY v) AS k FROM px)
-SELECT vec_id, max(CASE WHEN k = 4 THEN v END) AS p5, max(CASE WHEN k = 61 THEN v END) AS p95, round((max(CASE WHEN k = 61 THEN v END) - max(CASE WHEN k = 4 THEN v END)) / 255.0, 6) AS contrast FROM r GROUP BY vec_id""")
-def histogram_percentile(spark, sf_dir):
-    bins = pixels(spark, sf_dir).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
-    running = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("vec_id").orderBy("v")))
-    at = lambda p: F.min(F.when(F.col("upto") > F.round(F.lit(63 * p / 100)), F.col("v")))
-    return running.groupBy("vec_id").agg(at(5).alias("p5"), at(95).alias("p95")).withColumn("contrast", r6((F.col("p95") - F.col("p5")) / 255.0))
-
-
-@query(PIXELS_SQL + """ SELECT vec_id, count(*) FILTER (WHERE v < 90 OR v > 165) AS clipped, sum(v)::BIGINT AS luma_sum,
-round(1 - least(1.0, 6 * (count(*) FILTER (WHERE v < 90 OR v > 165) / 64.0) + 0.35 * least(1.0, abs(sum(v) / 64.0 / 255.0 - 0.52) / 0.52)), 6) AS exposure FROM px GROUP BY vec_id""")
-def exposure_contrast(spark, sf_dir):
-    sums = pixels(spark, sf_dir).groupBy("vec_id").agg(F.count_if((F.col("v") < 90) | (F.col("v") > 165)).alias("clipped"), F.sum("v").alias("luma_sum"))
-    return sums.withColumn("exposure", r6(C.exposure_score(F.col("clipped") / 64.0, F.col("luma_sum") / 64.0 / 255.0)))
-
-
-@query(PIXELS_SQL + """, n AS (SELECT *, lag(v) OVER r AS l, lead(v) OVER r AS rt, lag(v) OVER c AS u, lead(v) OVER c AS dn FROM px WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y)),
-k AS (SELECT vec_id, CASE WHEN l IS NOT NULL AND rt IS NOT NULL AND u IS NOT NULL AND dn IS NOT NULL THEN l + rt + u + dn - 4 * v END AS lap, rt - v AS dx, dn - v AS dy FROM n)
-SELECT vec_id, sum(lap)::BIGINT AS lap_sum, sum(lap * lap)::BIGINT AS lap_squares, sum(dx * dx)::BIGINT AS dx_squares, sum(dy * dy)::BIGINT AS dy_squares,
-       round(sum(lap * lap) / 36.0 - (sum(lap) / 36.0) * (sum(lap) / 36.0), 6) AS sharpness, round(sum(dx * dx) / 56.0 + sum(dy * dy) / 56.0, 6) AS tenengrad FROM k GROUP BY vec_id""")
-def focus_partials(spark, sf_dir):
-    row, col = Window.partitionBy("vec_id", "y").orderBy("x"), Window.partitionBy("vec_id", "x").orderBy("y")
-    v = F.col("v")
-    near = pixels(spark, sf_dir).select(
-        "vec_id", (F.lag(v).over(row) + F.lead(v).over(row) + F.lag(v).over(col) + F.lead(v).over(col) - 4 * v).alias("lap"), (F.lead(v).over(row) - v).alias("dx"), (F.lead(v).over(col) - v).alias("dy")
-    )
-    sums = near.groupBy("vec_id").agg(F.sum("lap").alias("lap_sum"), F.sum(F.col("lap") * F.col("lap")).alias("lap_squares"), F.sum(F.col("dx") * F.col("dx")).alias("dx_squares"), F.sum(F.col("dy") * F.col("dy")).alias("dy_squares"))
-    mean = F.col("lap_sum") / 36.0
-    return sums.withColumns({"sharpness": r6(F.col("lap_squares") / 36.0 - mean * mean), "tenengrad": r6(F.col("dx_squares") / 56.0 + F.col("dy_squares") / 56.0)})
-
-
-@query(PIXELS_SQL + """ SELECT vec_id, x, y, least(255, coalesce(abs(lead(v) OVER r - lag(v) OVER r) + abs(lead(v) OVER c - lag(v) OVER c), 0))::BIGINT AS edge FROM px WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y)""")
-def edge_descriptor(spark, sf_dir):
-    row, col = Window.partitionBy("vec_id", "y").orderBy("x"), Window.partitionBy("vec_id", "x").orderBy("y")
-    v = F.col("v")
-    sum_of = F.abs(F.lead(v).over(row) - F.lag(v).over(row)) + F.abs(F.lead(v).over(col) - F.lag(v).over(col))
-    return pixels(spark, sf_dir).select("vec_id", "x", "y", F.least(F.lit(255), F.coalesce(sum_of, F.lit(0))).alias("edge"))
-
-
-@query(PIXELS_SQL + """, b AS (SELECT vec_id, v, row_number() OVER (PARTITION BY vec_id ORDER BY v) AS k FROM px WHERE x IN (0, 7) OR y IN (0, 7)),
-m AS (SELECT vec_id, max(v) FILTER (WHERE k = 15) AS bg FROM b GROUP BY vec_id),
-d AS (SELECT px.*, abs(v - bg) AS dev, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v - bg)) AS k FROM px JOIN m USING (vec_id)),
-t AS (SELECT vec_id, least(greatest(max(dev) FILTER (WHERE k = 45) * 3, 12), 72) AS thr FROM d GROUP BY vec_id)
-SELECT vec_id, max(thr)::BIGINT AS threshold, count(*) FILTER (WHERE dev >= thr) AS foreground FROM d JOIN t USING (vec_id) GROUP BY vec_id""")
-def foreground_mask(spark, sf_dir):
-    px = pixels(spark, sf_dir)
-    border = px.where(F.col("x").isin(0, 7) | F.col("y").isin(0, 7)).groupBy("vec_id").agg(F.element_at(F.sort_array(F.collect_list("v")), 15).alias("bg"))
-    off = px.join(border, "vec_id").withColumn("dev", F.abs(F.col("v") - F.col("bg")))
-    each = off.groupBy("vec_id").agg(F.sort_array(F.collect_list("dev")).alias("devs"))  # 64 pixels an image
-    limit = F.least(F.greatest(F.element_at("devs", 45) * 3, F.lit(12)), F.lit(72))
-    return each.select("vec_id", limit.alias("threshold"), F.size(F.filter("devs", lambda d: d >= limit)).cast("bigint").alias("foreground"))
-
-
 BOX_SQL = """b AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: round((x::DOUBLE + 1) / 2, 4)) AS e FROM embeddings),
 c AS (SELECT vec_id, least(e[1], e[2]) AS ax0, least(e[3], e[4]) AS ay0, greatest(e[1], e[2]) AS ax1, greatest(e[3], e[4]) AS ay1, least(e[5], e[6]) AS bx0, least(e[7], e[8]) AS by0, greatest(e[5], e[6]) AS bx1, greatest(e[7], e[8]) AS by1 FROM b)"""
 

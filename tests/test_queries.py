@@ -6,7 +6,7 @@ import os
 import numpy as np
 import pytest
 
-from framesift import queries
+from framesift import image_queries, queries
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
@@ -32,7 +32,11 @@ def plain(v):
     return str(list(v)) if isinstance(v, (list, np.ndarray)) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_image_queries_are_registered():
+    assert queries.QUERIES["salient_box"] is image_queries.salient_box
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, con, name):
     got = queries.QUERIES[name](spark, DATA)
     cur = con.execute(queries.ORACLE_SQL[name])
