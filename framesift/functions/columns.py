@@ -16,9 +16,32 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def halves(x: Column) -> tuple[Column, Column]:
+    """A double as the sum of two of 26 bits, whose products are exact."""
+    wide = x * F.lit(134217729.0)
+    high = wide - (wide - x)
+    return high, x - high
+
+
 def fixed(x: Column, digits: int) -> Column:
-    """A number with so many decimals; what lies half-way goes to the even one."""
-    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits)))
+    """A number with so many decimals, rounded from its exact binary value; what lies just half-way goes to the even one.
+
+    0.35 is a little less than it looks, so it gives 0.3. The product with the power of ten is taken with its rounding error:
+    product + error is exact, and the fraction of the sum decides. From 2^52 on, scaled, a number has no fraction.
+    """
+    scale = F.lit(float(10**digits))
+    size = F.abs(x.cast("double"))
+    (a, b), (c, d) = halves(size), halves(scale)
+    product = size * scale
+    error = ((a * c - product) + a * d + b * c) + b * d
+    whole = F.floor(product).cast("double")
+    over = (product - whole - 0.5) + error
+    odd = whole - 2 * F.floor(whole / 2).cast("double") == 1
+    number = F.when(product >= 2.0**52, product).otherwise(whole + F.when((over > 0) | ((over == 0) & odd), 1.0).otherwise(0.0))
+    text = F.format_string(f"%.{digits}f", number / scale)
+    signed = F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    odd_ones = F.when(F.isnan(x.cast("double")), "NaN").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+    return F.when(x.isNotNull(), F.coalesce(odd_ones, signed))
 
 
 # -- names and paths ---------------------------------------------------------------------------------------------------

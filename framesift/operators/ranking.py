@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framesift.functions import columns as C
 from framesift.options import ScanOptions
 
 FOCUS = ("sharpness", "tenengrad", "subject_sharpness", "subject_tenengrad")
@@ -68,20 +69,21 @@ def suggest(ranked: DataFrame, options: ScanOptions, stack: str = "stack_id") ->
 
 def explanations(stack: str = "stack_id") -> Column:
     """The lines that say why, as an array; what doesn't apply is left out. Errors have the error alone."""
-    c = F.col
+    c, n = F.col, lambda name, digits: C.fixed(F.col(name), digits)
+    # The sentences, which exports and their readers share
     lines = F.array_compact(
         F.array(
             F.format_string("Ranked %d of %d in near-duplicate stack %d; keeper count is %d.", c("rank"), c("stack_size"), c(stack), c("keep_count")),
             F.format_string(
-                "Burst %d; subject confidence %.2f, nearest visual distance %.3f, duplicate confidence %.2f.",
-                c("burst_id"), c("subject_confidence"), c("nearest_distance"), c("duplicate_confidence"),
+                "Burst %d; subject confidence %s, nearest visual distance %s, duplicate confidence %s.",
+                c("burst_id"), n("subject_confidence", 2), n("nearest_distance", 3), n("duplicate_confidence", 2),
             ),
-            F.format_string("Whole-frame sharpness %.1f; subject sharpness %.1f; contrast %.2f.", c("sharpness"), c("subject_sharpness"), c("contrast")),
-            F.format_string("Completeness %.2f; border saliency %.2f indicates how much subject-like detail touches frame edges.", c("completeness"), c("border_energy_fraction")),
-            F.format_string("Exposure score %.2f; clipped pixels %.2f%%.", c("exposure_score"), c("clipped_fraction") * 100),
+            F.format_string("Whole-frame sharpness %s; subject sharpness %s; contrast %s.", n("sharpness", 1), n("subject_sharpness", 1), n("contrast", 2)),
+            F.format_string("Completeness %s; border saliency %s indicates how much subject-like detail touches frame edges.", n("completeness", 2), n("border_energy_fraction", 2)),
+            F.format_string("Exposure score %s; clipped pixels %s%%.", n("exposure_score", 2), C.fixed(c("clipped_fraction") * 100, 2)),
             F.when(
                 c("refine_feature_ms") > 0,
-                F.format_string("Quality metrics were refined at higher resolution; refinement decode %.1f ms, feature scoring %.1f ms.", c("refine_decode_ms"), c("refine_feature_ms")),
+                F.format_string("Quality metrics were refined at higher resolution; refinement decode %s ms, feature scoring %s ms.", n("refine_decode_ms", 1), n("refine_feature_ms", 1)),
             ),
             F.when(c("n_files") > 1, F.format_string("Decision applies to %d same-basename files, such as RAW+JPEG pairs.", c("n_files"))),
         )

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from framesift import options
@@ -98,3 +100,15 @@ def test_options():
     assert options.ScanOptions(max_duplicate_distance=7).normalized().max_duplicate_distance == 1.0
     assert options.preset_of(options.preset("best", "browser"), "browser") == "best" and options.preset_of(options.ScanOptions(preview_size=7)) == "custom"
     assert not options.ScanOptions(refine_size=100).refines
+
+
+def test_decimals_are_those_of_the_exact_value(spark):
+    r = random.Random(3)
+    values = [0.35, 2.675, 0.125, 0.375, 2.5, 3.5, 0.5, 1.5, 1e-300, 0.05, 0.15, 0.25, 1.005, 1023.95, 0.0, 4.35, 2.0**52, 1e12 + 0.3, 999999.995, -2.675, -0.04]
+    values += [r.choice([r.random(), r.random() * 1000, round(r.random() * 100, 3), r.randrange(10**6) / 64, r.random() * 1e9]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 1, 2, 3):
+        got = df.select("x", C.fixed(F.col("x"), digits).alias("t")).collect()
+        assert [r.t for r in got] == [f"{r.x:.{digits}f}" for r in got]
+    odd = spark.createDataFrame([(None,), (float("inf"),), (float("-inf"),), (float("nan"),)], "x double").select(C.fixed(F.col("x"), 1).alias("t"))
+    assert [r.t for r in odd.collect()] == [None, "inf", "-inf", "NaN"]
