@@ -99,6 +99,15 @@ def refinement_candidates(ranked: DataFrame, options: ScanOptions) -> DataFrame:
     return ranked.where((F.col("stack_size") > 1) & (F.col("rank") <= budget) & F.col("error").isNull())
 
 
+def finite(refined: DataFrame, metrics: list[str]) -> DataFrame:
+    """The rows whose measures are all numbers: an infinite or undefined one would upset its stack's scales."""
+    ok = F.lit(True)
+    for m in metrics:
+        if refined.schema[m].dataType.simpleString() == "double":
+            ok = ok & (F.abs(F.col(m)) < float("inf"))  # false for infinity; not a number is greater than all
+    return refined.where(F.coalesce(ok, F.lit(False)))
+
+
 def update_metrics(frames: DataFrame, refined: DataFrame, metrics: list[str], key: str = "id") -> DataFrame:
     """Frames with the metrics of ``refined`` (key, metrics, refine_size) where it has them; a failed refinement is no row there."""
     fresh = refined.select(key, "refine_size", *[F.col(m).alias(f"__{m}") for m in metrics])

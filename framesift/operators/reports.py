@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.functions import columns as C
+from framesift.plans.fold import greedy_fold
 
 
 def backend_usage(frames: DataFrame) -> DataFrame:
@@ -58,26 +59,56 @@ def workload(frames: Column, preview_edge: Column, refine_edge: Column, candidat
     return (frames * preview_edge * preview_edge + candidates * refine_edge * refine_edge) / 1e6 / F.greatest(workers, F.lit(1))
 
 
+def throttle_step():
+    """The fold's step over (stage, current, total, percent, at_ms): whether an update is shown, given the last one shown."""
+    shown = None
+
+    def step(row):
+        nonlocal shown
+        if row is None:
+            shown = None
+            return True
+        stage, current, total, percent, at_ms = row
+        ends = current is not None and total is not None and current >= total
+        show = shown is None or stage != shown[0] or ends or percent >= shown[1] + 2 or at_ms - shown[2] >= 1000
+        if show:
+            shown = stage, percent, at_ms
+        return show
+
+    return step
+
+
 def throttled(updates: DataFrame) -> DataFrame:
-    """Of progress updates (idx, stage, current, total, percent, at_ms) those that are shown: a stage that changes or ends,
-    two percent more than the last shown, or a second after it.
+    """Of progress updates (scan_id, idx, stage, current, total, percent, at_ms) those that are shown: a stage that changes or
+    ends, two percent more than the last shown, or a second after it.
 
-    What was last shown depends on what was shown before, so updates of one scan are folded in order.
+    What was last shown depends on what was shown before, so updates of one scan are folded in order; they stream through.
     """
-    order = F.sort_array(F.collect_list(F.struct("idx", "stage", "current", "total", "percent", "at_ms")))
-    start = F.struct(
-        F.lit(None).cast("string").alias("stage"), F.lit(-1000).cast("bigint").alias("percent"), F.lit(-(10**12)).cast("bigint").alias("at_ms"), F.array().cast("array<bigint>").alias("shown")
-    )
-
-    def step(s: Column, u: Column) -> Column:
-        show = ~s["stage"].eqNullSafe(u["stage"]) | F.coalesce(u["current"] >= u["total"], F.lit(False)) | (u["percent"] >= s["percent"] + 2) | (u["at_ms"] - s["at_ms"] >= 1000)
-        pick = lambda a, b: F.when(show, a).otherwise(b)
-        return F.struct(
-            pick(u["stage"], s["stage"]).alias("stage"), pick(u["percent"], s["percent"]).alias("percent"), pick(u["at_ms"], s["at_ms"]).alias("at_ms"),
-            pick(F.concat(s["shown"], F.array(u["idx"])), s["shown"]).alias("shown"),
-        )
-
-    return updates.groupBy("scan_id").agg(order.alias("u")).select("scan_id", F.explode(F.aggregate("u", start, step, lambda s: s["shown"])).alias("idx"))
+    inputs = ["stage", "current", "total", "percent", "at_ms"]
+    return greedy_fold(updates, ["scan_id"], [F.col("idx")], throttle_step, inputs, "shown").where("shown").select("scan_id", "idx")
+
+
+def timing_sums(timings: DataFrame) -> DataFrame:
+    """Of (stage, elapsed_ms), a row for each item, the time, number and rate of each stage."""
+    ms = F.sum("elapsed_ms")
+    return timings.groupBy("stage").agg(ms.alias("total_ms"), F.count(F.lit(1)).alias("items"), F.when(ms > 0, F.count(F.lit(1)) * 1000.0 / ms).alias("items_per_s"))
+
+
+def find_frames(frames: DataFrame, ids: list[str]) -> DataFrame:
+    """The frames of these ids: a filter that reaches the files' statistics."""
+    return frames.where(F.col("id").isin(ids))
+
+
+def diagnostics(manifest: dict, workers: int = 1) -> dict:
+    """What a run used, from its manifest; fields that older manifests leave empty take what was always used then."""
+    acceleration, options = manifest.get("acceleration") or {}, manifest.get("options") or {}
+    focus = acceleration.get("focus_backend") or acceleration.get("selected") or ""
+    parallel = acceleration.get("parallelism_backend") or "spark"
+    number = max(acceleration.get("parallelism_workers") or 0, options.get("workers") or 1, workers)
+    return {
+        "acceleration": f"{focus} + {parallel} ({number})", "focus_backend": focus, "parallelism_backend": parallel, "parallelism_workers": number,
+        "detector": (manifest.get("detector") or {}).get("selected", ""), "raw_decoder": (manifest.get("decoders") or {}).get("raw_strategy", ""),
+    }
 
 
 def run_library(runs: DataFrame, files: DataFrame, moves: DataFrame) -> DataFrame:

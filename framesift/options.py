@@ -5,6 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 
+#: Names that older options give detectors.
+DETECTORS = {"none": "off", "disabled": "off", "saliency": "heuristic", "heuristic_saliency": "heuristic", "onnx": "ml", "vision": "ml", "macos_vision": "ml", "platform": "ml"}
+
+
 @dataclass(frozen=True)
 class ScanOptions:
     preview_size: int = 1280
@@ -20,11 +24,14 @@ class ScanOptions:
     keepers_per_cluster: int | None = None
     refine: bool = True
     near_tie: float = 0.035
+    detector: str = "off"
 
     def normalized(self) -> ScanOptions:
-        """Distances held to [0.01, 1], confidences to [0, 1], sizes to at least 1."""
+        """Distances held to [0.01, 1], confidences to [0, 1], sizes to at least 1; detectors by the names they have now."""
+        detector = self.detector.strip().lower()
         return replace(
             self,
+            detector=DETECTORS.get(detector, detector),
             max_duplicate_distance=min(max(self.max_duplicate_distance, 0.01), 1.0),
             min_duplicate_confidence=min(max(self.min_duplicate_confidence, 0.0), 1.0),
             preview_size=max(1, self.preview_size),

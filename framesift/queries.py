@@ -127,9 +127,8 @@ def capture_time_chain(spark, sf_dir):
 SELECT event_type AS stage, round(sum(value), 6) AS total_ms, count(*) AS items,
        round(CASE WHEN sum(value) > 0 THEN count(*) * 1000.0 / sum(value) END, 6) AS items_per_s FROM events GROUP BY event_type""")
 def timing_report(spark, sf_dir):
-    ms = F.sum("value")
-    rate = F.when(ms > 0, F.count(F.lit(1)) * 1000.0 / ms)
-    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(r6(ms).alias("total_ms"), F.count(F.lit(1)).alias("items"), r6(rate).alias("items_per_s"))
+    sums = reports.timing_sums(read(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("elapsed_ms")))
+    return sums.select("stage", r6(F.col("total_ms")).alias("total_ms"), "items", r6(F.col("items_per_s")).alias("items_per_s"))
 
 
 @query("""

@@ -46,7 +46,8 @@ def write_reduced(images: DataFrame, folder: str, edge: int, suffix: str = "") -
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(len(batch)):
+                [row] = batch.slice(i, 1).to_pylist()  # one raster at a time
                 if row["height"] < 1 or not row["data"]:
                     continue
                 rgb = kernels.resize_long_edge(to_rgb(row["data"], row["height"], row["width"], row["nChannels"]), edge, "lanczos3")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +32,46 @@ def to_rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return np.repeat(raster, 3, axis=2) if channels == 1 else np.ascontiguousarray(raster[..., 2::-1])
 
 
-def score_images(images: DataFrame, edge: int) -> DataFrame:
+Detector = Callable[[np.ndarray, kernels.Metrics], "kernels.Detection | None"]
+
+
+def detected(rgb: np.ndarray, metrics: kernels.Metrics, detector: Detector | None) -> kernels.Metrics:
+    """The metrics with what a detector found in the picture. Without a detector the measured box is its own finding; a
+    detector that fails or finds nothing counts as none. Focus is measured again in a box that agrees with the measured one."""
+    found = None
+    if detector is not None:
+        try:
+            found = detector(rgb, metrics)
+        except Exception:
+            found = None
+    if found is None:
+        return kernels.merge_detection(metrics, kernels.heuristic_detection(metrics))
+    merged = kernels.merge_detection(metrics, found)
+    return kernels.refocus(rgb, merged) if merged is not metrics and kernels.box_iou(metrics.box, merged.box) >= 0.25 else merged
+
+
+def score_images(images: DataFrame, edge: int, detection: str = "off", detector: Detector | None = None) -> DataFrame:
     """Metrics and descriptors of each image, reduced to a longer edge of at most ``edge``. An image that can't be read is a
-    row with an error. Descriptors come from the measured box, whatever a detector says later."""
+    row with an error, its own where ``images`` has a column for it. Descriptors come from the measured box, whatever a
+    detector says later. ``detection`` is off, heuristic (auto is the same) or ml, which asks ``detector``."""
+    if detection not in ("off", "auto", "heuristic", "ml"):
+        raise ValueError(f"no detector {detection!r}")
 
     def run(batches):
         names = [f.split()[0] for f in SCORED.split(", ")]
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(len(batch)):
+                [row] = batch.slice(i, 1).to_pylist()  # one raster at a time
                 out = dict.fromkeys(names) | {"path": row["path"]}
                 began = time.perf_counter()
                 if row["height"] < 1 or not row["data"]:
-                    out |= kernels.Metrics().as_dict() | {"error": "image can't be decoded", "feature_backend": "none", "subject_confidence": 0.0, "subject_area_fraction": 0.0}
+                    out |= kernels.Metrics().as_dict() | {"error": row.get("error") or "image can't be decoded", "feature_backend": "none", "subject_confidence": 0.0, "subject_area_fraction": 0.0}
                 else:
                     rgb = kernels.resize_long_edge(to_rgb(row["data"], row["height"], row["width"], row["nChannels"]), edge, "lanczos3")
                     metrics, backend = kernels.score_image(rgb)
                     described = kernels.describe(rgb, metrics)
+                    if detection != "off":
+                        metrics = detected(rgb, metrics, detector if detection == "ml" else None)
                     out |= metrics.as_dict() | {"width": row["width"], "height": row["height"], "feature_backend": backend}
                     out |= {n: getattr(described, n).tobytes() for n in ("global_luma", "subject_luma", "subject_edges", "subject_mask")}
                     out |= {"subject_confidence": described.confidence, "subject_area_fraction": described.area_fraction}
@@ -60,10 +85,10 @@ KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "bina
 ARROW = pa.schema([(n, KINDS[k]) for n, k in (f.split() for f in SCORED.split(", "))])
 
 
-def refine_images(images: DataFrame, candidates: DataFrame, edge: int) -> DataFrame:
+def refine_images(images: DataFrame, candidates: DataFrame, edge: int, detection: str = "off", detector: Detector | None = None) -> DataFrame:
     """Metrics at a higher resolution for the candidates (id, path) only: the others are left out before any is measured."""
     chosen = images.join(candidates.select("path"), "path", "left_semi")
-    scored = score_images(chosen.select("path", "height", "width", "nChannels", "data"), edge).where("error IS NULL")
+    scored = score_images(chosen.select("path", "height", "width", "nChannels", "data"), edge, detection, detector).where("error IS NULL")
     return scored.join(candidates.select("id", "path"), "path").withColumn("refine_size", F.lit(edge))
 
 

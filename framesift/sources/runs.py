@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 import os
 import shutil
@@ -11,7 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.operators import ranking, review
+from framesift.operators import moves, ranking, review
+from framesift.progress import Reporter
 
 JOURNAL = "asset_id string, source_set string, source_root string, source_rel_path string, source string, destination string, size bigint, moved_at string, restored_at string, idx bigint"
 DECISIONS = "asset_id string, decision string, note string, updated_at bigint"
@@ -36,19 +38,91 @@ def write_json(path: str, value) -> None:
     os.replace(beside, path)
 
 
-def write_run(frames: DataFrame, folder: str, root: str) -> str:
-    """The run folder: frames as Parquet, the manifest with counts, and an empty journal. A run that fails leaves nothing."""
+def write_run(frames: DataFrame, folder: str, root: str, options: dict | None = None, timings: list[dict] | None = None, capabilities: dict | None = None) -> str:
+    """The run folder: frames, bursts and clusters as Parquet, and the manifest with counts, options, what was used, and the
+    time of each stage. A run that fails leaves nothing."""
     os.makedirs(folder)
     try:
         frames.write.parquet(f"file://{folder}/frames")
-        summary = ranking.action_summary(frames.sparkSession.read.parquet(f"file://{folder}/frames")).first().asDict()
-        write_json(f"{folder}/manifest.json", {"version": VERSION, "created_at": datetime.now(UTC).isoformat(), "root": root, "summary": summary})
+        spark = frames.sparkSession
+        written = spark.read.parquet(f"file://{folder}/frames")
+        groups(written, "burst_id").write.parquet(f"file://{folder}/bursts")
+        groups(written, "stack_id").write.parquet(f"file://{folder}/clusters")
+        summary = ranking.action_summary(written).first().asDict()
+        manifest = {"version": VERSION, "created_at": datetime.now(UTC).isoformat(), "root": root, "options": options or {}, "summary": summary, "benchmarks": timings or [], **(capabilities or {})}
+        write_json(f"{folder}/manifest.json", manifest)
+        write_launcher(folder)
     except BaseException:
         shutil.rmtree(folder, ignore_errors=True)
         raise
     return folder
 
 
+def groups(frames: DataFrame, key: str) -> DataFrame:
+    """A row for each burst or stack: its frames in order, its time bounds and, where there are ranks, its best frame."""
+    members = F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda m: m["id"])
+    best = F.max(F.when(F.col("rank") == 1, F.col("id")))
+    return frames.groupBy(key).agg(members.alias("asset_ids"), F.min("time_ms").alias("start_ms"), F.max("time_ms").alias("end_ms"), best.alias("best_asset_id"))
+
+
+def write_document(spark: SparkSession, folder: str, target: str) -> str:
+    """One JSON document with the manifest, all bursts, clusters and frames, for readers that want a single file. Rows stream
+    through the driver; the document appears when it is whole."""
+    parts = {"bursts": "burst_id", "clusters": "stack_id", "frames": "pos"}
+    beside = f"{target}.tmp"
+    with open(beside, "w", encoding="utf-8") as file:
+        file.write(json.dumps(read_manifest(folder), ensure_ascii=False)[:-1])
+        for name in parts:
+            rows = spark.read.parquet(f"file://{folder}/{name}")
+            order = ["burst_id", "pos"] if name == "frames" else [parts[name]]
+            file.write(f', "{name}": [')
+            for i, row in enumerate(rows.orderBy(*order).select(F.to_json(F.struct("*")).alias("row")).toLocalIterator()):
+                file.write((",\n" if i else "\n") + row["row"])
+            file.write("]")
+        file.write("}\n")
+    os.replace(beside, target)
+    return target
+
+
+def write_launcher(folder: str) -> None:
+    """A page that says how this run is looked through."""
+    lines = ["<!doctype html>", '<meta charset="utf-8">', f"<title>{html.escape(os.path.basename(folder))}</title>", "<h1>Review of this run</h1>", "<p>Read it with <code>framesift.sources.runs.load_run</code>; the lists are under <code>csv</code>.</p>"]
+    Path(folder, "review.html").write_text("\n".join(lines) + "\n", encoding="utf-8")
+
+
+def load_run(spark: SparkSession, folder: str, reporter: Reporter | None = None) -> dict:
+    """All that a review begins with: manifest, frames, decisions of this run, and which assets have active moves."""
+    reporter = reporter or Reporter()
+    manifest = reporter.stage("reading_manifest", lambda: read_manifest(folder))
+    if manifest.get("version") != VERSION:
+        raise ValueError(f"manifest of version {manifest.get('version')}; this reads version {VERSION}")
+    decisions = reporter.stage("loading_decisions", lambda: read_decisions(spark, folder), lambda df: df.count())
+    status = reporter.stage("loading_move_history", lambda: {r["source_set"]: r.asDict() for r in moves.move_status(read_journal(spark, folder)).collect()})
+    reporter.emit("preparing_review", 0, 1)
+    return {"folder": folder, "manifest": manifest, "frames": read_frames(spark, folder), "decisions": decisions, "move_status": status}
+
+
+def save_decisions(spark: SparkSession, folder: str, updates: DataFrame, destination: str | None = None) -> DataFrame:
+    """Decisions after updates, written, and every export of the run made anew from them."""
+    decided = review.upsert_decisions(read_decisions(spark, folder), updates)
+    write_decisions(decided, folder)
+    refresh_exports(spark, folder, destination)
+    return read_decisions(spark, folder)
+
+
+def refresh_exports(spark: SparkSession, folder: str, destination: str | None = None) -> None:
+    """CSVs, move scripts (to ``destination``, or a folder beside the root) and the launcher, as the decisions are now."""
+    frames, decisions, root = read_frames(spark, folder), read_decisions(spark, folder), read_manifest(folder)["root"].rstrip("/")
+    export_csvs(frames, decisions, folder)
+    rejects = review.with_decisions(frames, decisions).where("operation_action = 'reject'")
+    each = F.explode(F.array_union("files", F.coalesce("sidecars", F.array().cast("array<string>")))).alias("rel_path")
+    plan = moves.plan_targets(rejects.select(F.col("id").alias("asset_id"), each), destination or f"{root}_rejects", F.struct("asset_id", "rel_path"))
+    sources = plan.select(F.concat(F.lit(root + "/"), "rel_path").alias("source"), "target")
+    move_script(sources, f"{folder}/move_rejects.sh")
+    move_script(sources, f"{folder}/move_rejects.ps1", "powershell")
+    write_launcher(folder)
+
+
 def read_manifest(folder: str) -> dict:
     with open(f"{folder}/manifest.json", encoding="utf-8") as file:
         return json.load(file)

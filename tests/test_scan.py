@@ -157,3 +157,87 @@ def test_thumbnails_and_review_export(spark, scanned, tmp_path):
     (tmp_path / "x/y/z").mkdir(parents=True)
     artifacts.remove_empty_folders(str(tmp_path / "x/y/z"), str(tmp_path))
     assert not (tmp_path / "x").exists()
+
+
+def test_decoders_fall_back_in_order(spark, tmp_path):
+    """What Spark can't read, and RAW, goes to external decoders; their errors are told together."""
+    from framesift.sources import decoders
+
+    for name, data in (("a.png", png(pose(90))), ("b.png", b"no picture"), ("c.nef", b"P5 4 2 255 " + bytes(range(8))), ("d.cr2", b"bad"), ("e.txt", b"x")):
+        (tmp_path / name).write_bytes(data)
+
+    def broken(content):
+        raise ValueError("out of order")
+
+    external = [("first", broken), ("second", decoders.parse_ppm)]
+    got = {os.path.basename(r.path): r for r in decoders.load_with_fallback(spark, str(tmp_path), external).collect()}
+    assert got.keys() == {"a.png", "b.png", "c.nef", "d.cr2"}
+    assert (got["a.png"].decoder, got["a.png"].error, got["a.png"].height) == ("native", None, 240)
+    assert (got["c.nef"].decoder, got["c.nef"].width, got["c.nef"].data[:6]) == ("second", 4, bytes([0, 0, 0, 1, 1, 1]))
+    assert got["d.cr2"].error.endswith("first: out of order; second: not an 8-bit PPM") and got["d.cr2"].error.startswith("external decoder failed for ")
+    assert got["b.png"].error.startswith("native decode failed (") and got["b.png"].height == -1
+    none = {os.path.basename(r.path): r.error for r in decoders.load_with_fallback(spark, str(tmp_path), []).collect()}
+    assert "no external decoder found" in none["c.nef"] and none["a.png"] is None
+    assert decoders.external_decoders({"convert": "/x/convert"}.get)[0][0] == "ImageMagick (/x/convert)" and decoders.external_decoders(lambda name: None) == []
+    frames = scan.scan(spark, str(tmp_path), ScanOptions(refine=False), external=external).collect()
+    assert {r.stem: r.action for r in frames}["d"] == "error" and {r.stem: r.error for r in frames}["c"] is None
+
+
+def test_a_scan_tells_its_stages_and_can_be_called_off(spark, scanned):
+    from framesift.progress import CancellationToken, Reporter, ScanCancelled
+
+    heard, token = [], CancellationToken()
+    reporter = Reporter(heard.append, token)
+    frames = scan.scan(spark, scanned[0], ScanOptions(detector="Saliency"), reporter)
+    assert [t["stage"] for t in reporter.timings] == ["analyzing", "grouping", "refining"] and reporter.timings[0]["items"] == 4
+    assert [u.overall_fraction for u in heard] == sorted(u.overall_fraction for u in heard) and frames.count() == 4
+    calls = Reporter(lambda u: token.cancel() if u.stage == "grouping" else None, token)
+    with pytest.raises(ScanCancelled):
+        scan.scan(spark, scanned[0], ScanOptions(), calls)
+    with pytest.raises(ValueError):
+        scan.scan(spark, scanned[0], ScanOptions(detector="crystal ball"))
+
+
+def test_a_detector_is_merged_and_its_failure_is_not(spark, scanned):
+    from framesift.functions import kernels
+    from framesift.sources import images
+
+    rasters = images.load_images(spark, scanned[0])
+    measure = lambda *how: {r.path: r for r in images.score_images(rasters, 1280, *how).where("error IS NULL").collect()}
+    plain, heuristic = measure(), measure("heuristic")
+    found = measure("ml", lambda rgb, m: kernels.Detection(0.99, 1, 0.0, m.box))
+    failed = measure("ml", lambda rgb, m: 1 / 0)
+    for path, r in plain.items():
+        assert found[path].object_confidence == pytest.approx(max(0.99, r.object_confidence)) and found[path].completeness >= r.completeness - 1e-9
+        assert failed[path].object_confidence == heuristic[path].object_confidence and failed[path].completeness == heuristic[path].completeness
+        assert found[path].subject_sharpness == pytest.approx(r.subject_sharpness) and found[path].subject_luma == r.subject_luma
+
+
+def test_exports_follow_decisions(spark, scanned, tmp_path):
+    from framesift.operators import reports
+    from framesift.sources import decoders
+
+    root, frames = scanned
+    folder = runs.write_run(frames, str(tmp_path / "run"), root, {"workers": 3}, [{"stage": "analyzing", "elapsed_ms": 1.0}], decoders.capabilities(lambda name: None))
+    one = frames.where("error IS NULL AND sidecars IS NOT NULL").orderBy("stem").first()
+    new = spark.createDataFrame([(one.id, "reject", None, 1)], runs.DECISIONS)
+    assert runs.save_decisions(spark, folder, new, "/elsewhere").count() == 1
+    script = open(f"{folder}/move_rejects.sh").read()
+    assert f"'{root}/frame_0000.png'" in script and "'/elsewhere/frame_0000.xmp'" in script and os.path.exists(f"{folder}/review.html")
+    undo = spark.createDataFrame([(one.id, "keep", None, 2)], runs.DECISIONS)
+    runs.save_decisions(spark, folder, undo, "/elsewhere")
+    assert "frame_0000.png" not in open(f"{folder}/move_rejects.sh").read()
+    loaded = runs.load_run(spark, folder)
+    assert loaded["decisions"].first().decision == "keep" and loaded["move_status"] == {} and loaded["manifest"]["benchmarks"][0]["stage"] == "analyzing"
+    assert reports.find_frames(loaded["frames"], [one.id]).count() == 1
+    said = reports.diagnostics(loaded["manifest"])
+    assert said["acceleration"] == "cpu_portable + spark (3)" and said["raw_decoder"].startswith("native compressed formats only")
+    document = json.load(open(runs.write_document(spark, folder, f"{folder}/all.json")))
+    assert len(document["frames"]) == 4 and document["summary"]["frames"] == 4 and len(document["bursts"]) == 1
+
+
+def test_measures_that_are_no_numbers_are_left_out(spark):
+    from framesift.operators import ranking
+
+    df = spark.createDataFrame([("a", 1.0, "h"), ("b", float("nan"), "h"), ("c", float("inf"), "h"), ("d", None, "h")], "id string, sharpness double, dhash string")
+    assert [r.id for r in ranking.finite(df, ["sharpness", "dhash"]).collect()] == ["a"]
