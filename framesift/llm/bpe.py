@@ -400,8 +400,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     """Each row's ``keep`` columns, with ids (binary, little-endian u32), n_tokens and decoded (the text read back).
 
     Rows come one for one, repeated ones too; null and empty texts have no tokens. The work is a map over rows without
-    a shuffle, so a lost executor costs its own tasks. Other columns of ``docs`` are not read.
+    a shuffle, so a lost executor costs its own tasks. Other columns of ``docs`` are not read, whatever their names; columns
+    called ids, n_tokens or decoded can't be among those kept.
     """
+    if taken := {"ids", "n_tokens", "decoded"}.intersection(c.lower() for c in keep):
+        raise ValueError(f"columns {sorted(taken)} are made here")
     source = docs.select(*keep, F.col(text).alias("__text"))
 
     def run(batches):

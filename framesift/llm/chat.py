@@ -45,6 +45,14 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
+def unique_messages(messages: DataFrame) -> DataFrame:
+    """One row for each (tree, node), nulls included: of several the one with the highest score, then the smallest parent, role
+    and text, nulls last. For tables in which a node may come twice; the rest of this module takes each node to be one."""
+    low = lambda c: F.struct(F.col(c).isNull(), F.col(c))
+    first = F.min(F.struct(-F.coalesce("score", F.lit(0.0)), *[low(c) for c in ("parent", "role", "text")], F.struct("parent", "role", "text", "score").alias("row"))).alias("first")
+    return messages.groupBy("tree", "node").agg(first).select("tree", "node", "first.row.*")
+
+
 def root_paths(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(tree, node, total, length) of each message with a path to a root, and the pointer table of each step size.
 
@@ -91,7 +99,7 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """tree, branch, formatted, and loss: array of (start, length), characters from 0, that cover assistants' texts.
 
-    Null texts are empty. (tree, node) must be unique. A conversation is a row, so it is gathered in one task; all
+    Null texts are empty. (tree, node) must be unique (see ``unique_messages``). A conversation is a row, so it is gathered in one task; all
     others of the table are dealt out by tree.
     """
     paths = chosen_paths(messages, branches).select(F.col("tree").alias("t"), F.col("node").alias("n"), "branch", "place")

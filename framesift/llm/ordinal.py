@@ -48,7 +48,7 @@ def mark(word: bytes) -> int:
     if len(inner) == len(word):
         return -1
     left = word[: word.index(inner)] if inner else word
-    return bucket(b"p:" + left[:8] + b" " + (word[len(left) + len(inner) :][:8]))
+    return bucket(b"p:" + left + b" " + word[len(left) + len(inner) :])
 
 
 def bins(words: list[bytes], distinct: int) -> list[int]:
@@ -206,7 +206,11 @@ def score_rows(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, expected_grade, tail and kept (tail >= 0.5) of every row; a null text is scored as an empty one."""
+    """doc_id, expected_grade, tail and kept (tail >= 0.5, so a tie is kept) of every row.
+
+    A null text is scored as an empty one, a text of any length whole, and repeated rows each; a null doc_id has no rating.
+    Of several rows with one rated id one is fitted (see ``train``). Other columns are not read.
+    """
     scored = score_rows(docs, train(docs, labels), ["doc_id"])
     return scored.select("*", (F.col("tail") >= 0.5).alias("kept"))
 

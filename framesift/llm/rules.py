@@ -157,8 +157,9 @@ def label_model(measured: DataFrame) -> Column:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base measures, base_failed, kept and posterior, for each row of ``docs`` (doc_id, text; no others are read).
 
-    kept is false where the base rules fail, else posterior >= 0.5. A null or empty text has no words and fails. The
-    model is one of all rows given; an empty table gives no rows.
+    kept is false where the base rules fail, else posterior >= 0.5, so a tie is kept. A null or empty text has no words and
+    fails. Whole texts are measured, whatever their length. The model is one of all rows given, repeated rows as often as they
+    come, and rows with equal texts are judged alike; an empty table gives no rows.
     """
     measured = stage(measure(docs, ["doc_id"]), "measures")
     good = label_model(measured)

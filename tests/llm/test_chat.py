@@ -70,3 +70,14 @@ def test_best_branches_of_trees(spark):
         for k, (_, _, path) in enumerate(sorted(paths)[:2]):
             want[tree, k + 1] = [(i + 1, n) for i, n in enumerate(path)]
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_nodes_that_come_twice(spark):
+    """One row of each, whatever the order of the table, and very long texts come back whole."""
+    rows = [("t", 1, None, "user", "a" * 300_000 + "</s>", 0.0), ("t", 2, 1, "assistant", "low", 0.0), ("t", 2, 1, "assistant", "high", 1.0), ("t", 2, 1, "assistant", "high", 1.0), (None, 1, None, None, None, None), (None, 1, None, None, None, None)]
+    schema = "tree string, node bigint, parent bigint, role string, text string, score double"
+    for some in (rows, rows[::-1]):
+        once = chat.unique_messages(spark.createDataFrame(some, schema)).select("tree", "node", "parent", "role", "text", "score")
+        assert sorted(map(repr, map(tuple, once.collect()))) == sorted(map(repr, [rows[0], rows[2], rows[4]]))
+        out = {r.tree: r for r in chat.format_paths(once).select("tree", chat.parse_turns(F.col("formatted")).alias("turns")).collect()}
+        assert [tuple(t) for t in out["t"].turns] == [("user", rows[0][4]), ("assistant", "high")]
