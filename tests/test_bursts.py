@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framesift.operators import bursts, similarity
 from framesift.options import ScanOptions
 from framesift.plans.fold import number_rows
-from framesift.streaming.bursts import stream_bursts
+from framesift.streaming.bursts import stream_bursts, stream_late_bursts
 
 FRAME = "directory string, prefix string, seq bigint, time_ms bigint, stem string"
 
@@ -99,3 +99,25 @@ def test_stream_gives_the_same_bursts(spark, tmp_path):
     for r in spark.sql("SELECT * FROM bursts ORDER BY time_ms").collect():
         found.setdefault(r.burst_no, []).append(r.stem)
     assert [found[i] for i in sorted(found)] == greedy(rows, o)
+
+
+def test_late_frames_get_the_bursts_of_their_place(spark, tmp_path):
+    """Frames that come up to 20 s late, in shuffled batches, then one far later, which moves the watermark past them all."""
+    o = ScanOptions(max_time_gap_ms=8_000, max_cluster_span_ms=15_000, max_seq_gap=2)
+    r = random.Random(3)
+    times = sorted(r.sample(range(1_000_000, 1_600_000, 500), 120))
+    arrival = sorted(times, key=lambda t: t + r.randrange(20_000))
+    batches = [arrival[i : i + 40] for i in range(0, 120, 40)] + [[9_000_000], [9_100_000]]
+    for i, batch in enumerate(batches):
+        spark.createDataFrame([("d", "p", None, t, f"{t:07d}") for t in batch], FRAME).coalesce(1).write.parquet(str(tmp_path / f"in/{i:03d}"))
+    source = spark.readStream.schema(FRAME).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    q = stream_late_bursts(source, o, 25_000).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    found = {}
+    for row in spark.sql("SELECT * FROM late WHERE time_ms < 2000000 ORDER BY time_ms").collect():
+        found.setdefault(row.burst_ms, []).append(row.stem)
+        assert row.burst_start == (row.burst_ms == row.time_ms)
+    assert [found[i] for i in sorted(found)] == greedy([("d", "p", None, t, f"{t:07d}") for t in times], o)
