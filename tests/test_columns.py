@@ -100,6 +100,11 @@ def test_options():
     assert options.ScanOptions(max_duplicate_distance=7).normalized().max_duplicate_distance == 1.0
     assert options.preset_of(options.preset("best", "browser"), "browser") == "best" and options.preset_of(options.ScanOptions(preview_size=7)) == "custom"
     assert not options.ScanOptions(refine_size=100).refines
+    old = options.ScanOptions(detector="ml_heavy", acceleration="open_cl", detector_device="cuda").normalized()
+    assert (old.detector, old.detector_model, old.acceleration, old.detector_device) == ("ml", "accurate", "portable", "gpu")
+    assert options.ScanOptions(detector="vision").normalized().detector_model == "fast"
+    assert abs(options.estimated_load(options.ScanOptions(), 16, 16.0) - (0.42 + 0.40 + 0.18 * 0.45) / 4) < 1e-12
+    assert options.estimated_load(options.preset("best"), 1, 1.0) == 1.0 and options.estimated_load(options.ScanOptions(refine=False, detector="off"), 8, 8.0) < 0.45
 
 
 def test_decimals_are_those_of_the_exact_value(spark):

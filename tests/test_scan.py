@@ -188,7 +188,7 @@ def test_a_scan_tells_its_stages_and_can_be_called_off(spark, scanned):
 
     heard, token = [], CancellationToken()
     reporter = Reporter(heard.append, token)
-    frames = scan.scan(spark, scanned[0], ScanOptions(detector="Saliency"), reporter)
+    frames = scan.scan(spark, scanned[0], ScanOptions(detector="heuristic"), reporter)
     assert [t["stage"] for t in reporter.timings] == ["analyzing", "grouping", "refining"] and reporter.timings[0]["items"] == 4
     assert [u.overall_fraction for u in heard] == sorted(u.overall_fraction for u in heard) and frames.count() == 4
     calls = Reporter(lambda u: token.cancel() if u.stage == "grouping" else None, token)
