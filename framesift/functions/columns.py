@@ -121,10 +121,12 @@ def shutter_text(seconds: Column) -> Column:
     return F.when(seconds.isNull() | (seconds <= 0), "").when((seconds < 1) & (parts >= 2), F.format_string("1/%ds", parts)).otherwise(plain)
 
 
-def bytes_text(n: Column) -> Column:
+def bytes_text(n: Column, largest: str = "TiB") -> Column:
+    """A size with one decimal in the unit that keeps it under 1024, or in the largest one."""
     units = ["B", "KiB", "MiB", "GiB", "TiB"]
-    out = F.concat(fixed(n / 1024.0**4, 1), F.lit(" TiB"))
-    for i in reversed(range(4)):
+    last = units.index(largest)
+    out = F.concat(fixed(n / 1024.0**last, 1), F.lit(f" {largest}"))
+    for i in reversed(range(last)):
         out = F.when(n < 1024.0 ** (i + 1), F.concat(fixed(n / 1024.0**i, 1), F.lit(f" {units[i]}"))).otherwise(out)
     return out
 
